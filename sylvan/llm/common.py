@@ -53,13 +53,20 @@ def forget(df: DataFrame) -> None:
         target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Links that one task may hold (16 bytes each, some 200 as a union-find); more are joined in distributed rounds.
+LINKS_IN_A_TASK = 500_000
+
+
+def components(links: DataFrame, in_a_task: int = LINKS_IN_A_TASK) -> DataFrame:
     """(node, root) for every node of links (a, b bigint) that isn't its component's smallest; root is the smallest node.
 
-    Alternating large-star and small-star rounds over written tables. Each round takes a minimum per node (pre-aggregated) and joins it back,
+    The links are written and counted. Up to `in_a_task` of them go through a union-find in one task. More do not:
+    alternating large-star and small-star rounds over written tables. Each round takes a minimum per node (pre-aggregated) and joins it back,
     so a hub of any degree is split by the skew join rather than gathered in one task.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"), "links")
+    if edges.count() <= in_a_task:
+        return map_columns(edges.coalesce(1), _union_find, "node bigint, root bigint")
     before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -80,6 +87,26 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _union_find(batches):
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
+            x = p
+        return x
+
+    for b in batches:
+        for u, v in zip(b["u"], b["v"], strict=True):
+            p, q = top(u), top(v)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    nodes = sorted(x for x in parent if top(x) != x)
+    for at in range(0, len(nodes), 10_000):
+        own = nodes[at : at + 10_000]
+        yield {"node": own, "root": [top(x) for x in own]}
+
+
 def map_columns(df: DataFrame, body, schema: str) -> DataFrame:
     """mapInArrow with plain columns: body gets an iterator of dicts of lists and yields dicts of lists or arrays.
 
