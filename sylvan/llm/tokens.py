@@ -36,17 +36,47 @@ SAMPLE_CHARS = 65_536
 SAMPLE_PIECE = 2_048
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
-#: Entries of a worker's memo from white-space-free pieces of text to their ids.
+#: Entries of each of the two generations of a worker's memo from white-space-free pieces of text to their ids.
 MEMO = 400_000
+#: Signs that a word's letters never share a token with.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Memo(dict):
+    """Pieces to ids; what an older generation still has is taken from there, and everything else is worked out once."""
+
+    def __init__(self, work):
+        super().__init__()
+        self.work, self.old = work, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.work(piece)
+        self[piece] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > MEMO:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of whole texts as little-endian u32 bytes, by a tokenizers file whose tokens never span a space or line feed.
 
-    Texts are cut at those two characters, and the library encodes each distinct piece once per worker. Whether the file allows that is tried on
-    construction (a tokenizer that keeps white space gets whole texts).
+    Texts are cut at those two characters, and the library encodes each distinct piece about once per worker: a word of Latin-1 letters, with ASCII signs after it
+    or none, by its model alone, any other piece by the whole tokenizer. Whether the file allows either is tried on construction; a tokenizer that
+    keeps white space gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -54,9 +84,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
-        probe = "One  two,\n\nthree's été é 4µ !? x\n ́y"
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.signs: dict[str, bytes] = {}
+        probe = "One  two,\n\nthree's \u00e9t\u00e9 4\u00b5 !? x\n \u0301y"
         self.splits = self._ids(probe) == b"".join(self._ids(x) for x in probe.replace("\n", " ").split(" "))
+        words = ["Word", "thonble,", "\u00c9t\u00e9", "stra\u00dfe.", "HEIT!!", "a", "x...", "\u00e7a&&&", "don'", "\u00aa", "\u00b5m%)"]
+        self.by_model = self.splits and all(self._word(x) == self._ids(x) for x in words)
+        self.memo = _Memo(self._piece)
 
     @property
     def width(self) -> int:
@@ -66,22 +100,34 @@ class Encoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _word(self, piece: str) -> bytes | None:
+        """The ids of letters and the signs after them; None if the piece is anything else."""
+        core = piece.rstrip(SIGNS)
+        if not core.isalpha() or max(core) > "\u00ff":
+            return None
+        low = core.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(low)]
+        signs = piece[len(core) :]
+        if signs and signs not in self.signs:
+            self.signs[signs] = self._ids(signs)
+        return struct.pack(f"<{len(ids)}I", *ids) + self.signs.get(signs, b"")
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece:
+            return b""
+        return (self._word(piece) if self.by_model else None) or self._ids(piece)
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.splits:
             return self._ids(text)
-        pieces, memo = text.replace("\n", " ").split(" "), self.memo
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            missing = [x for x in set(pieces) if x not in memo]
-            for x, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                ids = e.ids
-                memo[x] = struct.pack(f"<{len(ids)}I", *ids)
-            return b"".join(map(memo.__getitem__, pieces))
+        self.memo.trim()
+        if len(self.signs) > MEMO:
+            self.signs.clear()
+        return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str) -> Encoder:
