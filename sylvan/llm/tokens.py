@@ -30,7 +30,8 @@ MAGIC = b"TIDZ0001"
 #: A block ends at so many documents or bytes of frames.
 BLOCK_DOCS = 256
 BLOCK_BYTES = 4 << 20
-#: The dictionary is trained on this many documents at most, of at most SAMPLE_CHARS characters each (chosen by hash), in pieces of SAMPLE_PIECE bytes.
+#: The dictionary is trained on this many documents at most, of at most SAMPLE_CHARS characters each (the first that a scan
+#: gives; only the compression depends on them), in pieces of SAMPLE_PIECE bytes.
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 65_536
 SAMPLE_PIECE = 2_048
@@ -141,7 +142,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     """A zstandard dictionary from a bounded sample of documents; empty if there is too little to train on."""
     import zstandard
 
-    sample = docs.select("text").where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS).collect()
+    sample = docs.select("text").where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).limit(SAMPLE_DOCS).collect()
     encode = encoder(tokenizer_path)
     pieces = []
     for row in sample:
