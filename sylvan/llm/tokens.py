@@ -38,7 +38,7 @@ SAMPLE_PIECE = 2_048
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 #: Entries of each of the two generations of a worker's memo from white-space-free pieces of text to their ids.
-MEMO = 400_000
+MEMO = 700_000
 #: Signs that a word's letters never share a token with.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
