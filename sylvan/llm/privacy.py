@@ -129,50 +129,79 @@ def _ip(m: Column, key: str) -> Column:
     return _let(p, lambda s: F.concat_ws(".", *(x.cast("string") for half in (s["l"], s["r"]) for x in (F.shiftright(half, 8), half.bitwiseAND(F.lit(255))))))
 
 
+def _ssn(m: Column, key: str) -> Column:
+    return _filled(m, _let(_digits(m), lambda d: _permuted_digits(d, 9, key + "ssn")))
+
+
+def _letters(h: Column, a: int, n: int) -> Column:
+    return F.translate(F.substring(h, a, n), HEX, LETTERS)
+
+
 def _email(m: Column, salt: Column, key: str) -> Column:
-    norm = F.lower(m)
-    local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    tail = F.regexp_extract(local, r"[._-]?[0-9]+$", 0)
-    letters = lambda h, a, n: F.translate(F.substring(h, a, n), HEX, LETTERS)
-    whole = _let(
-        _digest(key + "email", norm, salt),
-        lambda h: F.concat(letters(h, 1, 16), _filled(tail, F.translate(F.substring(h, 17, 48), "abcdef", "012345")), F.lit("@"), letters(_digest(key + "domain", domain), 1, 10), F.lit(".example.com")),
-    )
-    return F.when((m == F.upper(m)) & m.rlike("[A-Z]"), F.upper(whole)).otherwise(whole)
+    low = F.lower(m)
+    tail = F.regexp_extract(F.substring_index(low, "@", 1), r"[._-]?[0-9]+$", 0)
+    parts = F.struct(_digest(key + "email", low, salt).alias("h"), _digest(key + "domain", F.substring_index(low, "@", -1)).alias("d"), tail.alias("tail"), ((m == F.upper(m)) & m.rlike("[A-Z]")).alias("upper"))
+
+    def build(x: Column) -> Column:
+        return F.concat(_letters(x["h"], 1, 16), _filled(x["tail"], F.translate(F.substring(x["h"], 17, 48), "abcdef", "012345")), F.lit("@"), _letters(x["d"], 1, 10), F.lit(".example.com"))
+
+    return _let(parts, lambda x: _let(build(x), lambda whole: F.when(x["upper"], F.upper(whole)).otherwise(whole)))
 
 
 def _name(m: Column, salt: Column, key: str) -> Column:
-    words = F.split(m, " ")
-    title = F.get(words, F.lit(0))
-    male = F.regexp_replace(title, r"\.$", "").isin(*MALE)
+    """Title, keyed given name (if there are two names) and keyed surname."""
+    parts = F.struct(F.split(m, " ").alias("words"), F.regexp_replace(F.substring_index(m, " ", 1), r"\.$", "").isin(*MALE).alias("male"))
+    tables = F.lit([*LATIN, *CYRILLIC])  # a script's syllables begin at 0 or 16
+    ends = F.lit([e for script in ("latin", "cyrillic") for g in ("m", "f") for e in ENDINGS[script, g]])  # four to a script and gender
+
+    def made(x: Column, i: Column) -> Column:
+        last = i == F.size(x["words"]) - 1
+        word = F.struct(F.get(x["words"], i).alias("w"), F.get(x["words"], i).rlike(r"\p{IsCyrillic}").cast("int").alias("script"), (~last).alias("given"))
+
+        def named(w: Column) -> Column:
+            h = _digest(key + "name", F.lower(w["w"]), w["given"], F.when(w["given"], x["male"]), salt)
+            at = lambda h, k: F.conv(F.substr(h, k, F.lit(1)), 16, 10).cast("int")
 
-    def made(word: Column, syllables: int, given: bool) -> Column:
-        cyrillic = word.rlike(r"\p{IsCyrillic}")
-        h = _digest(key + ("given" if given else "surname"), F.lower(word), male if given else F.lit(0), salt)
-        at = lambda i: F.conv(F.substr(h, i, F.lit(1)), 16, 10).cast("int")
-        pick = lambda table, i: F.get(F.lit(table), at(i))
-        run = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(syllables)), lambda i: F.when(cyrillic, pick(CYRILLIC, i)).otherwise(pick(LATIN, i))), "")
-        if given:
-            ends = lambda script, g: F.get(F.lit(ENDINGS[script, g]), at(F.lit(60)) % 4)
-            run = F.concat(run, F.when(cyrillic, F.when(male, ends("cyrillic", "m")).otherwise(ends("cyrillic", "f"))).otherwise(F.when(male, ends("latin", "m")).otherwise(ends("latin", "f"))))
-        return F.when((word == F.upper(word)) & (F.char_length(word) > 1), F.upper(run)).otherwise(F.concat(F.upper(F.substring(run, 1, 1)), F.substring(run, 2, 99)))
+            def spelt(h: Column) -> Column:
+                run = F.array_join(F.transform(F.sequence(F.lit(1), F.when(w["given"], 3).otherwise(6)), lambda k: F.get(tables, w["script"] * 16 + at(h, k))), "")
+                end = F.get(ends, w["script"] * 8 + F.when(x["male"], 0).otherwise(4) + at(h, F.lit(60)) % 4)
+                return F.concat(run, F.when(w["given"], end).otherwise(F.lit("")))
 
-    return F.when(F.size(words) > 2, F.concat_ws(" ", title, made(F.get(words, F.lit(1)), 3, True), made(F.get(words, F.lit(2)), 6, False))).otherwise(F.concat_ws(" ", title, made(F.get(words, F.lit(1)), 6, False)))
+            shown = lambda run: F.when((w["w"] == F.upper(w["w"])) & (F.char_length(w["w"]) > 1), F.upper(run)).otherwise(F.concat(F.upper(F.substring(run, 1, 1)), F.substring(run, 2, 99)))
+            return _let(_let(h, spelt), shown)
+
+        return _let(word, named)
+
+    return _let(parts, lambda x: F.array_join(F.transform(x["words"], lambda word, i: F.when(i == 0, word).otherwise(made(x, i))), " "))
 
 
 def kind_of(m: Column) -> Column:
-    out = F.lit("name")
-    for kind in reversed([k for k in PATTERNS if k != "name"]):
-        out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(out)
-    return out
+    """The entity's kind: the first pattern that is the whole of it."""
+
+    def first(x: Column) -> Column:
+        out = F.lit("name")
+        for kind in reversed([k for k in PATTERNS if k != "name"]):
+            out = F.when(x.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(out)
+        return out
+
+    return _let(m, first)
 
 
 def surrogate(m: Column, key: str, salt: Column) -> Column:
     """What stands for the entity m."""
-    return _let(
-        kind_of(m),
-        lambda k: F.when(k == "email", _email(m, salt, key)).when(k == "card", _card(m, key)).when(k == "phone", _phone(m, key)).when(k == "ip", _ip(m, key)).when(k == "ssn", _filled(m, _permuted_digits(_digits(m), 9, key + "ssn"))).otherwise(_name(m, salt, key)),
-    )
+
+    def stand_in(x: Column) -> Column:
+        k = x["k"]
+        return (
+            F.when(k == "email", _email(x["m"], x["salt"], key))
+            .when(k == "card", _card(x["m"], key))
+            .when(k == "phone", _phone(x["m"], key))
+            .when(k == "ip", _ip(x["m"], key))
+            .when(k == "ssn", _ssn(x["m"], key))
+            .otherwise(_name(x["m"], x["salt"], key))
+        )
+
+    return _let(F.struct(m.alias("m"), kind_of(m).alias("k"), salt.alias("salt")), stand_in)
 
 
 def able(text: Column) -> Column:
@@ -190,7 +219,12 @@ def found(text: Column) -> Column:
 
 def norm(m: Column) -> Column:
     """What entities that are one have in common: a number's digits, an address without case, a name with its title."""
-    return _let(kind_of(m), lambda k: F.concat(k, F.lit(":"), F.when(k == "email", F.lower(m)).when(k == "name", m).when(k == "ip", m).otherwise(_digits(m))))
+
+    def same(x: Column) -> Column:
+        k, e = x["k"], x["m"]
+        return F.concat(k, F.lit(":"), F.when(k == "email", F.lower(e)).when(k.isin("name", "ip"), e).otherwise(_digits(e)))
+
+    return _let(m, lambda e: _let(F.struct(e.alias("m"), kind_of(e).alias("k")), same))
 
 
 def collisions(docs: DataFrame, key: str) -> dict[str, int]:
@@ -200,7 +234,7 @@ def collisions(docs: DataFrame, key: str) -> dict[str, int]:
     salts: dict[str, int] = {}
     while True:
         now = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in salts.items() for x in kv)), F.col("norm")), F.lit(0)) if salts else F.lit(0)
-        given = each.select("norm", norm(surrogate(F.col("m"), key, now)).alias("s"))
+        given = written(each.select("norm", surrogate(F.col("m"), key, now).alias("s")), "surrogates").select("norm", norm(F.col("s")).alias("s"))
         shared = given.groupBy("s").agg(F.count("*").alias("n"), F.min("norm").alias("least")).where("n > 1")
         again = given.join(shared, "s").where("norm <> least").select("norm").limit(MOST_SALTS + 1).collect()
         if not again:

@@ -114,8 +114,8 @@ def _sparse(rows, mean, scale):
     stats = np.clip((np.array([r[0] for r in rows]) - mean) / scale, -5, 5) / 4
     sizes = np.array([len(r[1]) for r in rows])
     row = np.concatenate([np.repeat(np.arange(len(rows)), sizes), np.repeat(np.arange(len(rows)), stats.shape[1])])
-    at = np.concatenate([np.array([b for r in rows for b in r[1]], "i8"), np.tile(BUCKETS + np.arange(stats.shape[1]), len(rows))])
-    x = np.concatenate([np.array([w for r in rows for w in r[2]], "f8"), stats.ravel()])
+    at = np.concatenate([np.concatenate([np.asarray(r[1], "i8") for r in rows]), np.tile(BUCKETS + np.arange(stats.shape[1]), len(rows))])
+    x = np.concatenate([np.concatenate([np.asarray(r[2], "f8") for r in rows]), stats.ravel()])
     return row, at, x, len(rows)
 
 
@@ -171,20 +171,24 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine:
     """A machine from labels (doc_id, quality) outside the held-out fold."""
+    import numpy as np
+
     small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        import numpy as np
+
         for b in batches:
             rows = [features(t) for t in b["text"]]
-            yield {"doc_id": b["doc_id"], "label": b["label"], "stats": [r[0] for r in rows], "at": [r[1] for r in rows], "x": [r[2] for r in rows]}
+            yield {"doc_id": b["doc_id"], "label": b["label"], "stats": [r[0] for r in rows], "at": [np.array(r[1], "i4").tobytes() for r in rows], "x": [np.array(r[2], "f4").tobytes() for r in rows]}
 
     # at most `most` ids: the bound holds for the broadcast side
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = map_columns(texts, run, "doc_id bigint, label int, stats array<double>, at array<int>, x array<float>").collect()
+    got = map_columns(texts, run, "doc_id bigint, label int, stats array<double>, at binary, x binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["stats"]))
-    return fit([(r["stats"], r["at"], r["x"]) for r in got], [r["label"] for r in got])
+    return fit([(r["stats"], np.frombuffer(r["at"], "i4"), np.frombuffer(r["x"], "f4")) for r in got], [r["label"] for r in got])
 
 
 def with_score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
