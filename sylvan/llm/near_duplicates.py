@@ -26,13 +26,15 @@ from .common import components, map_columns, small_batches, written
 PIVOTS = 16
 LONG_RUN = 512
 SEED = 42
-#: Similar pairs for near_duplicate_groups: words in a shingle, Jaccard similarity, and the search that finds them: fingerprint words of 64 bits, masks
-#: of MASK_BITS bits, most bits that differ. A pair at similarity 0.8 differs in 15 % of bits on average, 19.5 of 128.
+#: Similar pairs for near_duplicate_groups: words in a shingle, Jaccard similarity, and the search that finds them among 128-bit fingerprints: masks of LEAST_BITS
+#: bits, or of as many more as keep a run near RUN texts; so many masks that a pair with the average distance of that similarity (15 % of bits at 0.8)
+#: meets in one with probability MEETS; most bits that differ.
 SHINGLE = 5
 SIMILARITY = 0.8
-MASKS = 64
-MASK_BITS = 16
-MOST_BITS = 32
+LEAST_BITS = 16
+RUN = 64
+MEETS = 0.9999
+MOST_BITS = 36
 #: Earlier neighbours in a run of equal masked bits to which near_duplicate_groups compares a fingerprint.
 NEIGHBOURS = 256
 
@@ -260,13 +262,21 @@ def similar_bits(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def mask_plan(texts: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """(masks, bits of each) for so many distinct texts."""
+    import math
+
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, texts) / RUN)))
+    meet = (1 - similar_bits(similarity)) ** bits
+    return max(1, math.ceil(math.log(1 - MEETS) / math.log(1 - meet))) if meet < 1 else 1, bits
+
+
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key, group, keeper of every row: equal texts share a text_key, and chains of pairs whose shingle sets have Jaccard similarity of
     `similarity` or more share a group; keeper is true for the smallest doc_id (nulls last) of a group.
 
-    Each distinct text has 128 SimHash bits. MASKS masks of MASK_BITS of them bring texts together; in a run a text is compared, by pivot tables and
+    Each distinct text has 128 SimHash bits. Random masks of them (mask_plan) bring texts together; in a run a text is compared, by pivot tables and
     then popcount, with its neighbours, and its nearest within MOST_BITS becomes a candidate. Every candidate pair's whole shingle sets are compared.
-    A pair at similarity 0.8 meets in some mask with probability 0.99.
     """
     import numpy as np
 
@@ -277,8 +287,9 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
     nodes = written(own.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")), "nodes")
     rng = np.random.default_rng(SEED + 1)
     masks = []
-    for _ in range(MASKS):
-        on = rng.choice(128, MASK_BITS, replace=False)
+    count, bits = mask_plan(nodes.count(), similarity)
+    for _ in range(count):
+        on = rng.choice(128, bits, replace=False)
         masks.append(tuple(_signed(sum(1 << int(x - base) for x in on if base <= x < base + 64)) for base in (0, 64)))
     p, q = (_signed(int(x)) for x in pivots(2))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))) + F.bit_count(F.col("fp2").bitwiseXOR(F.lit(q)))

@@ -36,7 +36,7 @@ DECAY = 1e-5
 SEED = 7
 THRESHOLD = 0.3
 #: Entries of a worker's memo from words to buckets.
-MEMO = 500_000
+MEMO = 150_000
 
 STATISTICS = (
     "log_chars", "log_words", "mean_word", "upper", "digit", "punctuation", "space", "other_ascii", "capital_words", "distinct_words", "top_word", "distinct_pairs", "log_lines", "repeated_lines",
