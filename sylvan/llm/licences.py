@@ -90,7 +90,7 @@ def canonical(rows: DataFrame, text: str, longest: int | None = None, first_word
     others = [c for c in rows.columns if c != text]
     rows = rows.select(*others, F.lower(F.coalesce(text, F.lit(""))).alias("_low"))
     stated = F.contains("_low", F.lit("copyright")) | F.contains("_low", F.lit("(c)")) | F.contains("_low", F.lit("\u00a9"))
-    rows = rows.select(*others, F.when(stated, F.regexp_replace("_low", r"(?m)^[^\p{L}\p{N}\n]*+(?:copyright\b|\(c\)|\u00a9)[^\n]*+$", " ")).otherwise(F.col("_low")).alias("_kept"))
+    rows = rows.select(*others, F.when(stated, F.regexp_replace("_low", r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|\u00a9)[^\n]*+$", " ")).otherwise(F.col("_low")).alias("_kept"))
     rows = rows.select(*others, F.concat(F.lit(" "), F.trim(F.regexp_replace("_kept", r"[^\p{L}\p{N}]++", " ")), F.lit(" ")).alias("_plain"))
     spelt = F.col("_plain")
     for was, now in sorted(SPELLINGS.items()):

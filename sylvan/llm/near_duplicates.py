@@ -31,12 +31,12 @@ SEED = 42
 #: meets in one with probability MEETS; most bits that differ.
 SHINGLE = 5
 SIMILARITY = 0.8
-LEAST_BITS = 16
-RUN = 64
-MEETS = 0.9999
+LEAST_BITS = 14
+RUN = 128
+MEETS = 0.99999
 MOST_BITS = 36
 #: Earlier neighbours in a run of equal masked bits to which near_duplicate_groups compares a fingerprint.
-NEIGHBOURS = 256
+NEIGHBOURS = 512
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
