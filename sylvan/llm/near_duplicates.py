@@ -276,7 +276,7 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
     `similarity` or more share a group; keeper is true for the smallest doc_id (nulls last) of a group.
 
     Each distinct text has 128 SimHash bits. Random masks of them (mask_plan) bring texts together; in a run a text is compared, by pivot tables and
-    then popcount, with its neighbours, and its nearest on either side within MOST_BITS become candidates. Every candidate pair's whole shingle sets are compared.
+    then popcount, with its neighbours, and its nearest within MOST_BITS becomes a candidate. Every candidate pair's whole shingle sets are compared.
     """
     import numpy as np
 
@@ -300,20 +300,20 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for _, part in _runs(batches, 1 << 20):
             fp, fp2, key = part["fp"].astype("i8").view("u8"), part["fp2"].astype("i8").view("u8"), part["text_key"].astype("i8")
-            # for each row, its nearest before it and its nearest after it
-            nearest, partner = np.full((2, len(fp)), MOST_BITS + 1, "i4"), np.zeros((2, len(fp)), "i8")
+            # for each row its nearest on either side, of equally near ones the least: one candidate a text and mask
+            nearest, partner = np.full(len(fp), MOST_BITS + 1, "i4"), np.zeros(len(fp), "i8")
             ref = pivots(4)
             table = np.bitwise_count(fp[:, None] ^ ref[None, :2]).astype("i2") + np.bitwise_count(fp2[:, None] ^ ref[None, 2:])
             for i, j in _neighbours(part, MOST_BITS, NEIGHBOURS):
                 close = np.abs(table[i] - table[j]).max(axis=1) <= MOST_BITS
                 i, j = i[close], j[close]
                 bits = (np.bitwise_count(fp[i] ^ fp[j]).astype("i4") + np.bitwise_count(fp2[i] ^ fp2[j])).astype("i4")
-                for side, (own, other) in enumerate(((j, i), (i, j))):
-                    better = bits < nearest[side, own]
-                    nearest[side, own[better]], partner[side, own[better]] = bits[better], key[other[better]]
-            found = [np.stack([np.minimum(key[at], p[at]), np.maximum(key[at], p[at])], axis=1) for n, p in zip(nearest, partner, strict=True) if (at := n <= MOST_BITS).any()]
-            if found:
-                both = np.unique(np.concatenate(found), axis=0)
+                for own, other in ((j, i), (i, j)):
+                    better = (bits < nearest[own]) | (bits == nearest[own]) & (bits <= MOST_BITS) & (key[other] < partner[own])
+                    nearest[own[better]], partner[own[better]] = bits[better], key[other[better]]
+            at = nearest <= MOST_BITS
+            if at.any():
+                both = np.unique(np.stack([np.minimum(key[at], partner[at]), np.maximum(key[at], partner[at])], axis=1), axis=0)
                 yield {"a": both[:, 0], "b": both[:, 1]}
 
     pairs = written(_map_arrays(rows, run, "a bigint, b bigint").distinct(), "pairs")
