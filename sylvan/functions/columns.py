@@ -23,11 +23,14 @@ def dense(pairs: Column, width: int, missing: float = 0.0) -> Column:
     """array<double> of `width` from an array of "index:value" tokens: indices count from 0, the last of equal ones holds, nan counts as 0."""
     parts = F.transform(pairs, lambda p: F.struct(F.substring_index(p, ":", 1).cast("int").alias("i"), F.nanvl(F.substring_index(p, ":", -1).cast("double"), F.lit(0.0)).alias("v")))
 
-    def at(i: Column) -> Column:
-        own = F.filter(parts, lambda p: p["i"] == i)
-        return F.coalesce(F.get(F.transform(own, lambda p: p["v"]), F.size(own) - 1), F.lit(float(missing)))
+    def filled(p: Column) -> Column:
+        def at(i: Column) -> Column:
+            own = F.filter(p, lambda x: x["i"] == i)
+            return F.coalesce(F.element_at(F.concat(F.array(F.lit(None).cast("double")), own["v"]), -1), F.lit(float(missing)))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at)
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at)
+
+    return F.transform(F.array(parts), filled)[0]  # the tokens are read once, not once a position
 
 
 def bin_code(value: Column, edges: Column) -> Column:
