@@ -26,9 +26,11 @@ from .common import components, map_columns, small_batches, written
 PIVOTS = 16
 LONG_RUN = 512
 SEED = 42
-#: Similar pairs for near_duplicate_groups: words in a shingle, Jaccard similarity, and the search that finds them among 128-bit fingerprints: masks of LEAST_BITS
-#: bits, or of as many more as keep a run near RUN texts; so many masks that a pair with the average distance of that similarity (15 % of bits at 0.8)
-#: meets in one with probability MEETS; most bits that differ.
+#: Similar pairs for near_duplicate_groups: words in a shingle, Jaccard similarity, and the search that finds them among fingerprints of WORDS times 64 bits:
+#: masks of LEAST_BITS bits, or of as many more as keep a run near RUN texts; so many masks that a pair with the average distance of that similarity (15 % of
+#: bits at 0.8) meets in one with probability MEETS; most bits that differ of the first 128. A mask takes its bits from one word and the words take turns:
+#: the more words, the nearer a pair's chance is to that of masks that know nothing of each other.
+WORDS = 8
 SHINGLE = 5
 SIMILARITY = 0.8
 LEAST_BITS = 14
@@ -275,45 +277,34 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
     """doc_id, text_key, group, keeper of every row: equal texts share a text_key, and chains of pairs whose shingle sets have Jaccard similarity of
     `similarity` or more share a group; keeper is true for the smallest doc_id (nulls last) of a group.
 
-    Each distinct text has 128 SimHash bits. Random masks of them (mask_plan) bring texts together; in a run a text is compared, by pivot tables and
-    then popcount, with its neighbours, and its nearest within MOST_BITS becomes a candidate. Every candidate pair's whole shingle sets are compared.
+    Each distinct text has WORDS SimHashes. Random masks of them (mask_plan) bring texts together; in a run texts are compared, by pivot tables and
+    then popcount, with their neighbours, and of the pairs within MOST_BITS a spanning forest of least distances becomes candidates (_spanning): at most one
+    pair a text, yet all that the run's pairs connect. Every candidate pair's whole shingle sets are compared.
     """
     import numpy as np
 
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    words = _map_two(docs, size)
-    own = written(words, "own")
-    nodes = written(own.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")), "nodes")
+    fps = [f"fp{i}" for i in range(WORDS)]
+    own = written(_map_words(docs, size), "own")
+    nodes = written(own.groupBy("text_key").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in fps)), "nodes")
     rng = np.random.default_rng(SEED + 1)
     masks = []
     count, bits = mask_plan(nodes.count(), similarity)
-    for _ in range(count):
-        on = rng.choice(128, bits, replace=False)
-        masks.append(tuple(_signed(sum(1 << int(x - base) for x in on if base <= x < base + 64)) for base in (0, 64)))
+    for i in range(count):
+        masks.append((fps[i % WORDS], _signed(sum(1 << int(x) for x in rng.choice(64, bits, replace=False)))))
     p, q = (_signed(int(x)) for x in pivots(2))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))) + F.bit_count(F.col("fp2").bitwiseXOR(F.lit(q)))
-    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.xxhash64(F.col("fp").bitwiseAND(F.lit(a)), F.col("fp2").bitwiseAND(F.lit(b))).alias("bits")) for i, (a, b) in enumerate(masks))))
-    rows = nodes.select("text_key", "fp", "fp2", distance.cast("int").alias("d"), keys.alias("m")).select("m.mask", "m.bits", "d", "text_key", "fp", "fp2")
+    distance = F.bit_count(F.col("fp0").bitwiseXOR(F.lit(p))) + F.bit_count(F.col("fp1").bitwiseXOR(F.lit(q)))
+    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col(word).bitwiseAND(F.lit(m)).alias("bits")) for i, (word, m) in enumerate(masks))))
+    rows = nodes.select("text_key", "fp0", "fp1", distance.cast("int").alias("d"), keys.alias("m")).select("m.mask", "m.bits", "d", "text_key", "fp0", "fp1")
     rows = rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "d")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for _, part in _runs(batches, 1 << 20):
-            fp, fp2, key = part["fp"].astype("i8").view("u8"), part["fp2"].astype("i8").view("u8"), part["text_key"].astype("i8")
-            # for each row its nearest on either side, of equally near ones the least: one candidate a text and mask
-            nearest, partner = np.full(len(fp), MOST_BITS + 1, "i4"), np.zeros(len(fp), "i8")
-            ref = pivots(4)
-            table = np.bitwise_count(fp[:, None] ^ ref[None, :2]).astype("i2") + np.bitwise_count(fp2[:, None] ^ ref[None, 2:])
-            for i, j in _neighbours(part, MOST_BITS, NEIGHBOURS):
-                close = np.abs(table[i] - table[j]).max(axis=1) <= MOST_BITS
-                i, j = i[close], j[close]
-                bits = (np.bitwise_count(fp[i] ^ fp[j]).astype("i4") + np.bitwise_count(fp2[i] ^ fp2[j])).astype("i4")
-                for own, other in ((j, i), (i, j)):
-                    better = (bits < nearest[own]) | (bits == nearest[own]) & (bits <= MOST_BITS) & (key[other] < partner[own])
-                    nearest[own[better]], partner[own[better]] = bits[better], key[other[better]]
-            at = nearest <= MOST_BITS
-            if at.any():
-                both = np.unique(np.stack([np.minimum(key[at], partner[at]), np.maximum(key[at], partner[at])], axis=1), axis=0)
+            key = part["text_key"].astype("i8")
+            i, j = _spanning(part, MOST_BITS, NEIGHBOURS)
+            if len(i):
+                both = np.unique(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])], axis=1), axis=0)
                 yield {"a": both[:, 0], "b": both[:, 1]}
 
     pairs = written(_map_arrays(rows, run, "a bigint, b bigint").distinct(), "pairs")
@@ -324,19 +315,74 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
     return own.select("doc_id", "text_key").join(rooted, "text_key").select("doc_id", "text_key", "group", (F.col("doc_id").eqNullSafe(F.col("kl")) & (F.col("text_key") == F.col("kt"))).alias("keeper"))
 
 
-def _map_two(docs: DataFrame, size: int) -> DataFrame:
+def _spanning(part: dict, radius: int, most: int) -> tuple:
+    """(i, j) index arrays of pairs that connect, run by run, what the neighbours within radius bits of 128 connect. Boruvka's rounds: for each part that is
+    connected so far, its nearest pair with a row outside of it (ties: the least keys). Rows without such a pair and runs that are one part leave."""
+    import numpy as np
+
+    at, label, out_i, out_j = np.arange(len(part["mask"])), np.arange(len(part["mask"])), [], []
+    ref = pivots(4)
+    while len(at):
+        now = {k: part[k][at] for k in ("mask", "bits", "d")}
+        fp, fp2, key, own = part["fp0"][at].astype("i8").view("u8"), part["fp1"][at].astype("i8").view("u8"), part["text_key"][at].astype("i8"), label[at]
+        table = np.bitwise_count(fp[:, None] ^ ref[None, :2]).astype("i2") + np.bitwise_count(fp2[:, None] ^ ref[None, 2:])
+        nearest, partner = np.full(len(at), radius + 1, "i4"), np.zeros(len(at), "i8")
+        for i, j in _neighbours(now, radius, most):
+            apart = own[i] != own[j]
+            i, j = i[apart], j[apart]
+            close = np.abs(table[i] - table[j]).max(axis=1) <= radius
+            i, j = i[close], j[close]
+            bits = (np.bitwise_count(fp[i] ^ fp[j]).astype("i4") + np.bitwise_count(fp2[i] ^ fp2[j])).astype("i4")
+            for x, y in ((j, i), (i, j)):
+                better = (bits < nearest[x]) | (bits == nearest[x]) & (bits <= radius) & (key[y] < key[partner[x]])
+                nearest[x[better]], partner[x[better]] = bits[better], y[better]
+        found = np.flatnonzero(nearest <= radius)
+        if not len(found):
+            break
+        other = partner[found]
+        order = np.lexsort((np.maximum(key[found], key[other]), np.minimum(key[found], key[other]), nearest[found], own[found]))
+        first = order[np.append(True, own[found][order][1:] != own[found][order][:-1])]
+        i, j = at[found[first]], at[other[first]]
+        out_i.append(i)
+        out_j.append(j)
+        label = _merged(label, i, j)
+        if len(out_i) == 1:
+            at = at[found]  # a row with no neighbour at first has none later
+        starts = _starts({k: part[k][at] for k in ("mask", "bits")})
+        several = np.minimum.reduceat(label[at], starts) != np.maximum.reduceat(label[at], starts)
+        at = at[np.repeat(several, np.diff(np.append(starts, len(at))))]
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, "i8"), np.zeros(0, "i8"))
+
+
+def _merged(label, a, b):
+    """label (each row's least connected row) after the links a, b."""
+    import numpy as np
+
+    label = label.copy()
+    while (label[a] != label[b]).any():
+        x, y = label[a], label[b]
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _map_words(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         import numpy as np
 
+        mixers = np.random.default_rng(SEED + 2).integers(0, 2**63, WORDS, "u8") * np.uint64(2) + np.uint64(1)
         for b in batches:
-            both = []
+            out = []
             for t in b["text"]:
                 h = hashes(t, size)
-                again = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-                both.append((simhash(h), simhash(again ^ (again >> np.uint64(32)))))
-            yield {"doc_id": b["doc_id"], "text_key": b["text_key"], "fp": [x for x, _ in both], "fp2": [x for _, x in both]}
+                mixed = ((h ^ (h >> np.uint64(29))) * m for m in mixers)
+                out.append([simhash(x ^ (x >> np.uint64(32))) for x in mixed])
+            yield {"doc_id": b["doc_id"], "text_key": b["text_key"]} | {f"fp{i}": [x[i] for x in out] for i in range(WORDS)}
 
-    return map_columns(docs, run, "doc_id bigint, text_key bigint, fp bigint, fp2 bigint")
+    return map_columns(docs, run, "doc_id bigint, text_key bigint" + "".join(f", fp{i} bigint" for i in range(WORDS)))
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
