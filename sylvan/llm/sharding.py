@@ -1,11 +1,11 @@
 """Sharding by fixed virtual slots, in DataFrame functions only.
 
 A record's text digest puts it into one of SLOTS virtual slots, so equal texts stay together. Bytes are aggregated per slot, and a versioned map
-sends slots to shards: the heaviest slot first, each to the shard with fewest bytes. A slot that outweighs HEAVY of an even shard (a hot text) is
-split: its records are dealt over all slots by doc_id and digest instead. Rebalancing edits the map: it moves as few slots as bring the
+sends slots to shards: the heaviest slot first, each to the shard with fewest bytes. A text whose copies outweigh HEAVY of an even shard is split: its
+records are dealt over all slots by doc_id and digest instead; the other texts of its slot stay whole. Rebalancing edits the map: it moves as few slots as bring the
 shards within a tolerance, and the new version names the one it came from.
 
-Only per-slot totals (SLOTS rows) go to the driver. A row's place in its shard is its place in its slot plus the rows of the shard's earlier slots,
+Only per-slot totals (SLOTS rows) and the digests of split texts (shards / HEAVY at most) go to the driver. A row's place in its shard is its place in its slot plus the rows of the shard's earlier slots,
 so no task holds a shard.
 
 Null text counts as no bytes. Null doc_ids sort first in their slot. Repeated rows each have a place. Other columns are ignored (assign) or kept
@@ -29,7 +29,7 @@ OVERHEAD = 8
 
 @dataclass
 class SlotMap:
-    """Version of a slot-to-shard map. split: slots whose records are dealt over all slots."""
+    """Version of a slot-to-shard map. split: digests of texts whose records are dealt over all slots."""
 
     shards: int
     shard_of: list[int]
@@ -50,16 +50,15 @@ def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + OVERHEAD
 
 
-def _first_slot(slots: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(slots)).cast("int")
+def _digest() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _slot(slots: int, split: Iterable[int]) -> Column:
-    own = _first_slot(slots)
-    split = sorted(split)
-    if not split:
-        return own
-    return F.when(own.isin(split), F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(slots)).cast("int")).otherwise(own)
+    own, split = _digest(), sorted(split)
+    if split:
+        own = F.when(own.isin(split), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).otherwise(own)
+    return F.pmod(own, F.lit(slots)).cast("int")
 
 
 def _totals(sized: DataFrame, slots: int) -> list[int]:
@@ -82,10 +81,14 @@ def even_map(totals: list[int], shards: int) -> list[int]:
 
 
 def build_map(docs: DataFrame, shards: int, slots: int = SLOTS) -> SlotMap:
-    """The first version of the map: two aggregations by slot at most, the second only if a slot is heavy."""
+    """The first version of the map: one aggregation by slot, and only if a slot is heavy one by text in such slots and another by slot."""
     sized = docs.select("doc_id", "text").withColumn("size", record_size(F.col("text")))
-    totals = _totals(sized.select("size", _first_slot(slots).alias("_slot")), slots)
-    split = [i for i, n in enumerate(totals) if n > HEAVY * sum(totals) / shards]
+    totals = _totals(sized.select("size", _slot(slots, ()).alias("_slot")), slots)
+    most = HEAVY * sum(totals) / shards
+    heavy, split = [i for i, n in enumerate(totals) if n > most], []
+    if heavy:
+        texts = sized.where(_slot(slots, ()).isin(heavy)).groupBy(_digest().alias("digest")).agg(F.sum("size").alias("n"))
+        split = sorted(r["digest"] for r in texts.where(F.col("n") > most).collect())
     if split:
         totals = _totals(sized.select("size", _slot(slots, split).alias("_slot")), slots)
     return SlotMap(shards, even_map(totals, shards), split)

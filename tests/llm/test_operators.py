@@ -305,6 +305,13 @@ def test_hot_text_is_split(spark):
     assert own.split and len(load) == 24 and max(load) <= 1.02 * sum(load) / 24
 
 
+def test_texts_beside_a_hot_one_stay_whole(spark):
+    rows = spark.createDataFrame([(i, "same text " * 20 if i % 3 == 0 else f"text {i % 50} " * 12) for i in range(3000)], "doc_id bigint, text string")
+    own = sharding.build_map(rows, 4, slots=8)
+    placed = sharding.assign(rows, own).groupBy("text_crc32").agg(F.countDistinct("shard").alias("shards"), F.countDistinct("virtual_slot").alias("slots")).collect()
+    assert len(own.split) == 1 and sorted((r.shards, r.slots) for r in placed) == [(1, 1)] * 50 + [(4, 8)]
+
+
 def test_rebalancing(spark, tmp_path):
     rng = np.random.default_rng(2)
     totals = [int(x) for x in rng.integers(1, 100, 1000)]
