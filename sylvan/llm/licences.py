@@ -121,3 +121,25 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     hashed = canonical(units, "unit", longest, firsts).where("canonical is not null").select("doc_id", "line", F.sha2("canonical", 256).alias("digest"))
     known = known.select("digest", "licence")
     return hashed.join(F.broadcast(known) if n <= MOST_KNOWN else known, "digest").select("doc_id", "line", "licence", "digest")
+
+
+def oracle_sql() -> str:
+    """The scan with the texts of KNOWN, as DuckDB SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    spelt = "plain"
+    for was, now in sorted(SPELLINGS.items()):
+        spelt = f"replace({spelt}, ' {was} ', ' {now} ')"
+    return rf"""
+        with known(licence, unit) as (values {", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in KNOWN)}),
+        units as (
+            select null as doc_id, null as line, licence, unit from known
+            union all select doc_id, -1, null, text from documents
+            union all select doc_id, unnest(range(len(string_split(text, chr(10))))), null, unnest(string_split(text, chr(10))) from documents
+        ),
+        kept as (select doc_id, line, licence, regexp_replace(lower(coalesce(unit, '')), '(?m)^[^\p{{L}}\p{{N}}\n]*(copyright\b|\(c\)|{chr(0xA9)})[^\n]*$', ' ', 'g') as kept from units),
+        flat as (select doc_id, line, licence, ' ' || trim(regexp_replace(kept, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' as plain from kept),
+        forms as (select doc_id, line, licence, trim({spelt}) as canonical from flat),
+        digests as (select distinct licence, sha256(canonical) as digest from forms where licence is not null and canonical <> '')
+        select f.doc_id, f.line::int as line, d.licence, d.digest
+        from forms f join digests d on sha256(f.canonical) = d.digest where f.licence is null
+    """

@@ -477,6 +477,18 @@ def test_licences(spark, texts):
     assert want and set(want) <= {(r.doc_id, r.line) for r in got}
 
 
+def test_licences_in_sql(spark, odd, tmp_path):
+    """The whole scan, on the given table and on one with every kind of odd row, is what DuckDB gives."""
+    forms = [(7, "Copyright 2020 X\nReleased under the MIT Licence!"), (8, " -- (c) X\n\u00a9 Y\nAll rights  reserved"), (None, "Licensed under CC BY 4.0.\n\nAll rights reserved."), (9, "copyrighted\nAll rights reserved"), (10, "All rights reserved\n" * 3)]
+    odd.select("doc_id", "text").unionByName(spark.createDataFrame(forms, "doc_id bigint, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    for folder, files in ((FOLDER, f"{FOLDER}/documents.parquet"), (str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from read_parquet('{files}')")
+        want = con.execute(queries.ORACLE_SQL["op8_licence_scan"]).fetchall()
+        got = [(r.doc_id, r.line, r.licence, r.digest) for r in queries.op8_licence_scan(spark, folder).collect()]
+        assert len(want) > 5 and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_licence_forms(spark, odd, empty):
     mit = next(t for k, t in licences.KNOWN if k == "MIT" and "hereby" in t)
     rows = [(1, "Copyright (c) 2020 Some One\n" + mit.upper().replace("\n", "\n\n  * ")), (2, mit + " and more"), (3, "Licenced under the Apache Licence, version 2.0!!"), (4, "© all rights reserved")]
