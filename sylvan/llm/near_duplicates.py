@@ -279,7 +279,8 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
 
     Each distinct text has WORDS SimHashes. Random masks of them (mask_plan) bring texts together; in a run texts are compared, by pivot tables and
     then popcount, with their neighbours, and of the pairs within MOST_BITS a spanning forest of least distances becomes candidates (_spanning): at most one
-    pair a text, yet all that the run's pairs connect. Every candidate pair's whole shingle sets are compared.
+    pair a text, yet all that the run's pairs connect. Every candidate pair's whole shingle sets are compared, and those alike are joined. Then all other
+    pairs within MOST_BITS whose texts are not joined yet are compared too (_across): whatever pair is left has been joined or found unlike.
     """
     import numpy as np
 
@@ -296,20 +297,30 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
     p, q = (_signed(int(x)) for x in pivots(2))
     distance = F.bit_count(F.col("fp0").bitwiseXOR(F.lit(p))) + F.bit_count(F.col("fp1").bitwiseXOR(F.lit(q)))
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col(word).bitwiseAND(F.lit(m)).alias("bits")) for i, (word, m) in enumerate(masks))))
-    rows = nodes.select("text_key", "fp0", "fp1", distance.cast("int").alias("d"), keys.alias("m")).select("m.mask", "m.bits", "d", "text_key", "fp0", "fp1")
-    rows = rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "d")
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
+    def masked(of: DataFrame, *more: str) -> DataFrame:
+        rows = of.select("text_key", *more, "fp0", "fp1", distance.cast("int").alias("d"), keys.alias("m")).select("m.mask", "m.bits", "d", "text_key", *more, "fp0", "fp1")
+        return rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "d")
+
+    def joined(links: DataFrame) -> DataFrame:
+        roots = written(components(links), "roots")
+        return nodes.join(roots, nodes["text_key"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "text_key"))
+
+    def nearest(batches: Iterator[dict]) -> Iterator[dict]:
         for _, part in _runs(batches, 1 << 20):
-            key = part["text_key"].astype("i8")
-            i, j = _spanning(part, MOST_BITS, NEIGHBOURS)
-            if len(i):
-                both = np.unique(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])], axis=1), axis=0)
-                yield {"a": both[:, 0], "b": both[:, 1]}
-
-    pairs = written(_map_arrays(rows, run, "a bigint, b bigint").distinct(), "pairs")
-    roots = written(components(_verified(docs, nodes, pairs, size, similarity)), "roots")
-    rooted = nodes.join(roots, nodes["text_key"] == roots["node"], "left").select("text_key", "least", F.coalesce("root", "text_key").alias("root"))
+            yield from _ordered(part["text_key"].astype("i8"), [_spanning(part, MOST_BITS, NEIGHBOURS)])
+
+    def others(batches: Iterator[dict]) -> Iterator[dict]:
+        for _, part in _runs(batches, 1 << 20):
+            part = _divided(part)
+            yield from _ordered(part["text_key"].astype("i8"), _across(part, MOST_BITS, NEIGHBOURS))
+
+    pairs = written(_map_arrays(masked(nodes), nearest, "a bigint, b bigint").distinct(), "pairs")
+    links = written(_verified(docs, nodes, pairs, size, similarity), "links")
+    met = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
+    rest = _map_arrays(masked(joined(links).join(met, "text_key", "left_semi"), "root"), others, "a bigint, b bigint").distinct()
+    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    rooted = joined(links.unionByName(_verified(docs, nodes, rest, size, similarity))).select("text_key", "least", "root")
     keepers = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("n"), "least", "text_key")).alias("k"))
     rooted = rooted.join(keepers, "root").select("text_key", F.col("root").alias("group"), F.col("k.least").alias("kl"), F.col("k.text_key").alias("kt"))
     return own.select("doc_id", "text_key").join(rooted, "text_key").select("doc_id", "text_key", "group", (F.col("doc_id").eqNullSafe(F.col("kl")) & (F.col("text_key") == F.col("kt"))).alias("keeper"))
@@ -354,6 +365,49 @@ def _spanning(part: dict, radius: int, most: int) -> tuple:
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, "i8"), np.zeros(0, "i8"))
 
 
+def _divided(part: dict) -> dict:
+    """The rows of runs with more than one root."""
+    import numpy as np
+
+    starts = _starts(part)
+    several = np.minimum.reduceat(part["root"], starts) != np.maximum.reduceat(part["root"], starts)
+    several = np.repeat(several, np.diff(np.append(starts, len(part["mask"]))))
+    return {k: v[several] for k, v in part.items()}
+
+
+def _across(part: dict, radius: int, most: int) -> Iterator[tuple]:
+    """(i, j) index arrays of all pairs of neighbours within radius bits of 128 that have different roots."""
+    import numpy as np
+
+    ref, fp, fp2, root = pivots(4), part["fp0"].astype("i8").view("u8"), part["fp1"].astype("i8").view("u8"), part["root"]
+    table = np.bitwise_count(fp[:, None] ^ ref[None, :2]).astype("i2") + np.bitwise_count(fp2[:, None] ^ ref[None, 2:])
+    for i, j in _neighbours(part, radius, most) if len(fp) else ():
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        close = np.abs(table[i] - table[j]).max(axis=1) <= radius
+        i, j = i[close], j[close]
+        near = np.bitwise_count(fp[i] ^ fp[j]).astype("i4") + np.bitwise_count(fp2[i] ^ fp2[j]) <= radius
+        yield i[near], j[near]
+
+
+def _ordered(key, found, rows: int = 1 << 18) -> Iterator[dict]:
+    """The pairs of keys, the lesser as a, of (i, j) index arrays; repeats are left out within some `rows` pairs."""
+    import numpy as np
+
+    some, n = [], 0
+    for i, j in found:
+        if len(i):
+            some.append(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])], axis=1))
+            n += len(i)
+        if n >= rows:
+            both = np.unique(np.concatenate(some), axis=0)
+            yield {"a": both[:, 0], "b": both[:, 1]}
+            some, n = [], 0
+    if n:
+        both = np.unique(np.concatenate(some), axis=0)
+        yield {"a": both[:, 0], "b": both[:, 1]}
+
+
 def _merged(label, a, b):
     """label (each row's least connected row) after the links a, b."""
     import numpy as np

@@ -269,6 +269,41 @@ def test_near_duplicates(spark, odd, empty):
     assert near_duplicates.keep_one(empty).collect() == []
 
 
+def template_copies(n=700, planted=60):
+    """Texts that share most of their words (about 0.73 alike in shingles, so different), and behind them near copies of the first ones (0.8 or more)."""
+    rng = np.random.default_rng(11)
+    base, data = [f"t{i}" for i in range(300)], []
+    for _ in range(n):
+        own = list(base)
+        for at in rng.choice(300, 5, replace=False):
+            own[at] = f"u{int(rng.integers(0, 10**6))}"
+        data.append(own)
+    for c in range(planted):
+        own = list(data[c])
+        for at in rng.choice(300, 6, replace=False):
+            own[at] = f"c{int(rng.integers(0, 10**6))}"
+        data.append(own)
+    return [(i, " ".join(w)) for i, w in enumerate(data)]
+
+
+def similar_pairs(data):
+    sets = {i: set(near_duplicates.shingles(t, 5)) for i, t in data}
+    return sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def grouped(spark, data):
+    return {r.doc_id: r.group for r in near_duplicates.near_duplicate_groups(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+
+
+def test_near_copies_within_a_template(spark):
+    data = template_copies()
+    sets, pairs = similar_pairs(data)
+    group, linked = grouped(spark, data), groups_by(pairs, sets)
+    apart = sum(group[a] != group[b] for a, b in pairs)
+    assert len(pairs) >= 60 and apart == 0, f"{apart} of {len(pairs)}"
+    assert len({linked[a] for a in sets}) == len(set(group.values())) > 100
+
+
 def groups_by(pairs, nodes):
     root = {n: n for n in nodes}
     for _ in nodes:
