@@ -431,7 +431,7 @@ def _map_words(docs: DataFrame, size: int) -> DataFrame:
         for b in batches:
             out = []
             for t in b["text"]:
-                h = hashes(t, size)
+                h = np.unique(hashes(t, size))  # each shingle once, as the similarity counts them
                 mixed = ((h ^ (h >> np.uint64(29))) * m for m in mixers)
                 out.append([simhash(x ^ (x >> np.uint64(32))) for x in mixed])
             yield {"doc_id": b["doc_id"], "text_key": b["text_key"]} | {f"fp{i}": [x[i] for x in out] for i in range(WORDS)}

@@ -304,6 +304,17 @@ def test_near_copies_within_a_template(spark):
     assert len({linked[a] for a in sets}) == len(set(group.values())) > 100
 
 
+def test_near_duplicates_with_repeats(spark):
+    """Alike as sets of shingles, though one text has a line many times."""
+    rng, data = np.random.default_rng(12), []
+    for n in (10, 20, 40) * 10:
+        body, line = (" ".join(f"v{int(x)}" for x in rng.integers(0, 10**6, k)) for k in (300, 10))
+        data += [(len(data), f"{body} {line}"), (len(data) + 1, f"{body}{f' {line}' * n}")]
+    _, pairs = similar_pairs(data)
+    group = grouped(spark, data)
+    assert len(pairs) == 30 and sum(group[a] != group[b] for a, b in pairs) == 0
+
+
 def groups_by(pairs, nodes):
     root = {n: n for n in nodes}
     for _ in nodes:
