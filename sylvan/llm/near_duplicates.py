@@ -37,8 +37,10 @@ LEAST_BITS = 14
 RUN = 128
 MEETS = 0.99999
 MOST_BITS = 36
-#: Earlier neighbours in a run of equal masked bits to which near_duplicate_groups compares a fingerprint.
+#: Earlier neighbours in a run of equal masked bits to which near_duplicate_groups compares a fingerprint at first, and the rows of a block of those runs that
+#: are longer: there all pairs of blocks are compared later.
 NEIGHBOURS = 512
+BLOCK = 2_048
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -280,7 +282,8 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
     Each distinct text has WORDS SimHashes. Random masks of them (mask_plan) bring texts together; in a run texts are compared, by pivot tables and
     then popcount, with their neighbours, and of the pairs within MOST_BITS a spanning forest of least distances becomes candidates (_spanning): at most one
     pair a text, yet all that the run's pairs connect. Every candidate pair's whole shingle sets are compared, and those alike are joined. Then all other
-    pairs within MOST_BITS whose texts are not joined yet are compared too (_across): whatever pair is left has been joined or found unlike.
+    pairs within MOST_BITS whose texts are not joined yet are compared too (_across): whatever pair is left has been joined or found unlike. That holds for runs of any length: those with
+    more rows than a window has are compared block by block (_cells).
     """
     import numpy as np
 
@@ -307,18 +310,33 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
         return nodes.join(roots, nodes["text_key"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "text_key"))
 
     def nearest(batches: Iterator[dict]) -> Iterator[dict]:
-        for _, part in _runs(batches, 1 << 20):
-            yield from _ordered(part["text_key"].astype("i8"), [_spanning(part, MOST_BITS, NEIGHBOURS)])
+        for is_long, part in _runs(batches, NEIGHBOURS + 1):
+            key = part["text_key"].astype("i8")
+            for x in _ordered(key, [_spanning(part, MOST_BITS, NEIGHBOURS)]):
+                yield {"long": np.zeros(len(x["a"]), bool), "mask": np.zeros(len(x["a"]), "i4")} | x
+            if is_long:
+                yield {"long": np.ones(len(key), bool), "mask": part["mask"], "a": key, "b": part["bits"]}
 
     def others(batches: Iterator[dict]) -> Iterator[dict]:
-        for _, part in _runs(batches, 1 << 20):
+        for is_long, part in _runs(batches, NEIGHBOURS + 1):
+            if not is_long:
+                part = _divided(part)
+                yield from _ordered(part["text_key"].astype("i8"), _across(part, MOST_BITS, NEIGHBOURS))
+
+    def whole(batches: Iterator[dict]) -> Iterator[dict]:
+        for _, part in _runs(batches, 1 << 62):
             part = _divided(part)
-            yield from _ordered(part["text_key"].astype("i8"), _across(part, MOST_BITS, NEIGHBOURS))
+            yield from _ordered(part["text_key"].astype("i8"), _across(part, MOST_BITS, len(part["mask"])))
 
-    pairs = written(_map_arrays(masked(nodes), nearest, "a bigint, b bigint").distinct(), "pairs")
+    found = written(_map_arrays(masked(nodes), nearest, "long boolean, mask int, a bigint, b bigint"), "found")
+    pairs = written(found.where("not long").select("a", "b").distinct(), "pairs")
     links = written(_verified(docs, nodes, pairs, size, similarity), "links")
+    so_far = joined(links)
     met = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
-    rest = _map_arrays(masked(joined(links).join(met, "text_key", "left_semi"), "root"), others, "a bigint, b bigint").distinct()
+    rest = _map_arrays(masked(so_far.join(met, "text_key", "left_semi"), "root"), others, "a bigint, b bigint")
+    long = found.where("long").select("mask", F.col("b").alias("bits"), F.col("a").alias("text_key"))
+    long = long.join(so_far.select("text_key", "root", "fp0", "fp1", distance.cast("int").alias("d")), "text_key")
+    rest = rest.unionByName(_map_arrays(_cells(long), whole, "a bigint, b bigint")).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     rooted = joined(links.unionByName(_verified(docs, nodes, rest, size, similarity))).select("text_key", "least", "root")
     keepers = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("n"), "least", "text_key")).alias("k"))
@@ -365,6 +383,17 @@ def _spanning(part: dict, radius: int, most: int) -> tuple:
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, "i8"), np.zeros(0, "i8"))
 
 
+def _cells(long: DataFrame) -> DataFrame:
+    """The rows of runs with more than one root, each run cut into blocks of about BLOCK rows and every two blocks put together as a run of their own
+    (bits: a hash of the old ones and both blocks), so that all pairs of a run of any length meet, and no task has the whole run."""
+    runs = long.groupBy("mask", "bits").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    dealt = long.join(runs.select("mask", "bits", F.ceil(F.col("n") / BLOCK).alias("blocks")), ["mask", "bits"])
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("text_key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    cell = F.xxhash64("bits", F.least("own", "other"), F.greatest("own", "other"))
+    rows = dealt.select("mask", cell.alias("bits"), "d", "text_key", "root", "fp0", "fp1")
+    return rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "d")
+
+
 def _divided(part: dict) -> dict:
     """The rows of runs with more than one root."""
     import numpy as np

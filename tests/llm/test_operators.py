@@ -304,6 +304,17 @@ def test_near_copies_within_a_template(spark):
     assert len({linked[a] for a in sets}) == len(set(group.values())) > 100
 
 
+def test_near_copies_in_long_runs(spark, monkeypatch):
+    """Runs far longer than the window are compared whole, block by block."""
+    monkeypatch.setattr(near_duplicates, "NEIGHBOURS", 2)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 40, raising=False)
+    data = template_copies(250, 50)
+    sets, pairs = similar_pairs(data)
+    group = grouped(spark, data)
+    apart = sum(group[a] != group[b] for a, b in pairs)
+    assert len(pairs) >= 50 and apart == 0, f"{apart} of {len(pairs)}"
+
+
 def test_near_duplicates_with_repeats(spark):
     """Alike as sets of shingles, though one text has a line many times."""
     rng, data = np.random.default_rng(12), []
