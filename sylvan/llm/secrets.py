@@ -5,8 +5,8 @@ assign (a name such as password, `=` or `:`, a value of 6+ characters), access (
 
 The method's own kind, markov: a run of 16+ characters of an identifier or base64 alphabet that is likelier as a random string than as an ordinary
 identifier. Both models are first-order over characters, trained from labelled samples: random strings drawn evenly from the usual alphabets
-by a fixed seed, and ordinary identifiers put together from common words in the usual styles. A run counts if the ratio is LIMIT nats a
-character or more, it mixes letters and digits, and it touches no base span.
+by a fixed seed, and ordinary identifiers put together from common words in the usual styles. A run counts if some stretch of 16+ characters in it has a
+mean ratio of LIMIT nats a character or more (so an ordinary prefix hides nothing), it has a letter, and it touches no base span; the span is the whole run.
 
 Null text counts as empty; empty texts and repeated rows each have their row; texts are read whole; other columns than doc_id and text are ignored; an
 empty table gives an empty result.
@@ -27,6 +27,7 @@ ASSIGN_VALUE = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+STRETCH = 16
 RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -103,6 +104,28 @@ def likelihood_ratio(run: Column, table: list[float]) -> Column:
     return F.transform(F.array(codes), total)[0]
 
 
+def random_stretch(run: Column, table: list[float], limit: float) -> Column:
+    """Whether some stretch of STRETCH or more characters of run has a mean ratio of limit or more: over the sums less limit a pair, the last one against
+    the least of those that lie STRETCH - 1 pairs back or more."""
+    n, lag = len(ALPHABET) + 1, STRETCH - 1
+    place = lambda c: F.pmod(F.instr(F.lit(ALPHABET), c) - 1 + n, F.lit(n))  # noqa: E731  not found: the last place
+    codes = F.transform(F.sequence(F.lit(1), F.char_length(run)), lambda i: place(F.substr(run, i, F.lit(1))))
+    pairs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.get(F.lit(table), F.get(c, i) * n + F.get(c, i + 1)) - limit)
+
+    def best(x: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            now = acc["now"] + F.get(x, i)
+            back = acc["back"] + F.when(i >= lag, F.get(x, i - lag)).otherwise(0.0)
+            least = F.least(acc["least"], back)
+            most = F.when(i >= lag - 1, F.greatest(acc["most"], now - least)).otherwise(acc["most"])
+            return F.struct(now.alias("now"), back.alias("back"), least.alias("least"), most.alias("most"))
+
+        zero = F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("back"), F.lit(0.0).alias("least"), F.lit(float("-inf")).alias("most"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), zero, step, lambda acc: acc["most"] >= 0)
+
+    return F.transform(F.transform(F.array(codes), pairs), best)[0]
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of a pattern's matches (0-based, in code points): the gaps that split() leaves give the places."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
@@ -136,14 +159,14 @@ def scan(docs: DataFrame, limit: float = LIMIT, labelled: list[tuple[str, int]]
         F.when(named & text.rlike(ASSIGN), _spans(text, ASSIGN)).otherwise(none).alias("assign"),
         F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS)).otherwise(none).alias("access"),
         F.when(text.rlike(HEX), _spans(text, HEX)).otherwise(none).alias("hex"),
-        F.when(text.rlike(rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z]){RUN}"), _spans(text, rf"(?<![A-Za-z0-9+/_-]){RUN}")).otherwise(none).alias("runs"),
+        F.when(text.rlike(rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[A-Za-z]){RUN}"), _spans(text, rf"(?<![A-Za-z0-9+/_-]){RUN}")).otherwise(none).alias("runs"),
     )
     value = lambda s: F.regexp_extract(s["value"], ASSIGN, 2)
     rows = rows.withColumn("assign", F.filter("assign", lambda s: F.char_length(value(s)) >= ASSIGN_VALUE))
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
+    lettered = lambda s: s["value"].rlike("[A-Za-z]")
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    markov = F.filter("runs", lambda s: mixed(s) & free(s) & (likelihood_ratio(s["value"], table) >= limit))
+    markov = F.filter("runs", lambda s: lettered(s) & free(s) & random_stretch(s["value"], table, limit))
     return rows.select("doc_id", "assign", "access", "hex", markov.alias("markov"))
 
 

@@ -593,5 +593,16 @@ def test_markov_models(spark):
     assert np.mean([r.r >= secrets.LIMIT for r in scored if r.label == 1]) > 0.95 and np.mean([r.r < secrets.LIMIT for r in scored if r.label == 0]) > 0.99
 
 
+def test_random_stretch_behind_a_prefix(spark):
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    prefixes = ("", "config/production/", "services/webhook/client/", "user_session_value_", "storage/account/service/session/")
+    rows = [p + "".join(rng.choice(letters + list("0123456789"), 24)) for p in prefixes for _ in range(40)] + ["".join(rng.choice(letters, 32)) for _ in range(40)]
+    plain = [s for s, label in secrets.samples(200, 99) if not label]
+    found = {r.doc_id: r.n_markov for r in secrets.report(spark.createDataFrame(list(enumerate(rows + plain)), "doc_id bigint, text string")).collect()}
+    missed, wrong = sum(found[i] != 1 for i in range(len(rows))), sum(found[len(rows) + i] for i in range(len(plain)))
+    assert missed <= 2 and wrong <= 2, f"{missed} of {len(rows)} missed, {wrong} of {len(plain)} plain ones found"
+
+
 def test_secrets_odd(odd, empty):
     assert {r.spans for r in secrets.report(odd).collect()} == {""} and secrets.report(odd).count() == len(ODD) and secrets.report(empty).collect() == []
