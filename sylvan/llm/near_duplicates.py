@@ -1,15 +1,20 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Every fingerprint's Hamming distances to PIVOTS fixed reference fingerprints are computed once. By the triangle inequality two fingerprints within r
-bits differ by at most r at each pivot, so a pair whose tables differ by more at any coordinate is discarded unseen; survivors are verified by popcount.
+Every distinct fingerprint's Hamming distances to PIVOTS fixed reference fingerprints are computed once and written beside it. By the triangle inequality two
+fingerprints within r bits differ by at most r at each pivot, so a pair whose tables differ by more at any coordinate is discarded unseen; survivors are
+verified by popcount.
 
-Which pairs are looked at: fingerprints that agree on one of a set of bit masks and lie next to each other when sorted by their distance to the first
-pivot (the scan ends where that differs by more than r). For r bits, r + 1 disjoint masks lose no pair (linked()).
+Which pairs are looked at (linked()): fingerprints that agree on one of a set of bit masks and lie next to each other when sorted by their distance to the first
+pivot (the scan ends where that differs by more than r). The 64 bits are cut into blocks, and a mask is all but r of them: two fingerprints within r
+bits agree on one at least, so no pair is lost. There are as many blocks as keep a run of equal masked bits short at any number of fingerprints (block_masks).
 
-A run of equal masked bits longer than LONG_RUN isn't compared in pairs: its fingerprints are linked exactly through the values one bit away (two
+A run of equal masked bits longer than LONG_RUN (a dense group) isn't compared in pairs: its fingerprints are linked exactly through the values one bit away (two
 fingerprints within two bits of each other have such a value in common, or one is a value of the other), 65 rows each, so work is linear in a
 group of any size. Equal fingerprints are one node from the start.
 
+near_duplicate_groups() finds texts of a given similarity of shingle sets, for which SimHash alone has no exact search: 0.8 is about 19 of 128 bits. Bands of
+min-hashes bring texts together, SimHash fingerprints and their pivot tables discard pairs, and whole shingle sets are compared.
+
 Null text counts as empty. An empty text, having no word, has fingerprint 0. Repeated rows have equal fingerprints and one component. Null doc_ids
 take part but never name a component. Columns other than doc_id and text are ignored; an empty table gives an empty result.
 """
@@ -17,27 +22,28 @@ take part but never name a component. Columns other than doc_id and text are ign
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_columns, small_batches, written
+from .common import components, forget, map_columns, small_batches, written
 
 PIVOTS = 16
 LONG_RUN = 512
+#: Random fingerprints that a run of equal masked bits should hold at most, on average.
+RUN = 64
 SEED = 42
-#: Similar pairs for near_duplicate_groups: words in a shingle, Jaccard similarity, and the search that finds them among fingerprints of WORDS times 64 bits:
-#: masks of LEAST_BITS bits, or of as many more as keep a run near RUN texts; so many masks that a pair with the average distance of that similarity (15 % of
-#: bits at 0.8) meets in one with probability MEETS; most bits that differ of the first 128. A mask takes its bits from one word and the words take turns:
-#: the more words, the nearer a pair's chance is to that of masks that know nothing of each other.
-WORDS = 8
+#: Similar pairs for near_duplicate_groups: words in a shingle, Jaccard similarity, min-hashes in a band, and the probability with which a pair of just that
+#: similarity has a band in common (more alike pairs: a higher one), which sets the number of bands: 29 at 0.8, whatever the number of texts.
 SHINGLE = 5
 SIMILARITY = 0.8
-LEAST_BITS = 14
-RUN = 128
+BAND = 5
 MEETS = 0.99999
-MOST_BITS = 36
-#: Earlier neighbours in a run of equal masked bits to which near_duplicate_groups compares a fingerprint at first, and the rows of a block of those runs that
+#: Bits of the 128 of two SimHashes in which texts to be compared may differ. At 0.8 they differ in 19 of them on average, and in 24 at worst (sets of four and five
+#: shingles), with standard deviations of 4.0 and 4.4: one such pair in 10^6 is beyond this.
+MOST_BITS = 44
+#: Earlier neighbours in a run of equal bands to which near_duplicate_groups compares a fingerprint at first, and the rows of a block of those runs that
 #: are longer: there all pairs of blocks are compared later.
 NEIGHBOURS = 512
 BLOCK = 2_048
@@ -75,11 +81,24 @@ def pivots(n: int = PIVOTS):
     return np.random.default_rng(SEED).integers(0, 2**64, n, "u8")
 
 
-def _table(fp):
-    """The pivot distance table (rows x pivots) of an array of fingerprints."""
+def with_table(fps: DataFrame) -> DataFrame:
+    """fps with its pivot distance table: eight distances a bigint (t0, t1, ...), and the first one as d."""
+    distance = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(p)))))
+    packed = {}
+    for i, p in enumerate(pivots()):
+        packed.setdefault(f"t{i // 8}", []).append(F.shiftleft(distance(p).cast("bigint"), 8 * (i % 8)))
+    sums = {name: parts[0] for name, parts in packed.items()}
+    for name, parts in packed.items():
+        for x in parts[1:]:
+            sums[name] = sums[name].bitwiseOR(x)
+    return fps.withColumns({"d": distance(pivots()[0]).cast("int")} | sums)
+
+
+def _table(rows: dict):
+    """The pivot distance table (rows x pivots) of columns t0, t1, ..."""
     import numpy as np
 
-    return np.bitwise_count(fp[:, None] ^ pivots()[None, :])
+    return np.stack([rows[f"t{i}"].astype("<i8") for i in range(PIVOTS // 8)], axis=1).view("u1").astype("i2")
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -93,10 +112,15 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return map_columns(docs.select("doc_id", "text"), run, "doc_id bigint, fp bigint")
 
 
-def disjoint_masks(n: int) -> list[int]:
-    """n masks that share no bit and have all 64."""
-    edges = [64 * i // n for i in range(n + 1)]
-    return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+def block_masks(n: int, bits: int = 2) -> list[int]:
+    """Masks of which any two fingerprints within `bits` agree on one: all unions of all but `bits` of k blocks; as few blocks as keep random runs of n short."""
+    for k in range(bits + 1, bits + 5):
+        edges = [64 * i // k for i in range(k + 1)]
+        blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+        masks = [sum(some) for some in combinations(blocks, k - bits)]
+        if n <= RUN << min(m.bit_count() for m in masks):
+            break
+    return masks
 
 
 def _signed(x: int) -> int:
@@ -208,14 +232,16 @@ def _forest(a, b) -> list[tuple[int, int]]:
     return kept
 
 
-def linked(fps: DataFrame, bits: int = 2) -> DataFrame:
+def linked(fps: DataFrame, bits: int = 2, masks: list[int] | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect exactly those that a chain of pairs within `bits` (at most 2) connects."""
     if not 0 <= bits <= 2:
         raise ValueError("long runs are linked exactly for 2 bits at most")
-    masks = disjoint_masks(bits + 1)
-    first = int(pivots(1)[0])
+    tables = [f"t{i}" for i in range(PIVOTS // 8)]
+    if not {"d", *tables} <= set(fps.columns):
+        fps = with_table(fps)
+    masks = block_masks(fps.count(), bits) if masks is None else masks
     masked = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks))))
-    rows = fps.select("fp", F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(first)))).cast("int").alias("d"), masked.alias("m")).select("m.mask", "m.bits", "d", "fp")
+    rows = fps.select("fp", "d", *tables, masked.alias("m")).select("m.mask", "m.bits", "d", "fp", *tables)
     rows = rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "d")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -229,7 +255,7 @@ def linked(fps: DataFrame, bits: int = 2) -> DataFrame:
                     own = fp[at : at + 1024]
                     yield {"by": np.ones(len(own) * 65, bool), "a": np.repeat(own, 65).view("i8"), "b": (own[:, None] ^ flips[None, :]).ravel().view("i8")}
                 continue
-            table, a, b = _table(fp).astype("i2"), [], []
+            table, a, b = _table(part), [], []
             for i, j in _neighbours(part, bits, LONG_RUN):
                 near = np.abs(table[i] - table[j]).max(axis=1) <= bits
                 i, j = i[near], j[near]
@@ -248,8 +274,8 @@ def linked(fps: DataFrame, bits: int = 2) -> DataFrame:
 def simhash_components(docs: DataFrame, size: int = 3, bits: int = 2) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that a chain of fingerprints within `bits` reaches."""
     own = written(fingerprints(docs, size), "fingerprints")
-    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = written(components(linked(nodes.select("fp"), bits)), "roots")
+    nodes = written(with_table(own.groupBy("fp").agg(F.min("doc_id").alias("least"))), "nodes")
+    roots = written(components(linked(nodes, bits)), "roots")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return own.join(_named(rooted, "least"), "fp").select("doc_id", "fp", "component_id")
 
@@ -259,50 +285,57 @@ def _named(rooted: DataFrame, least: str) -> DataFrame:
     return rooted.join(names, "root").drop("root", least)
 
 
-def similar_bits(similarity: float) -> float:
-    """The share of bits in which SimHashes of two sets with this Jaccard similarity (and equal sizes) differ on average."""
+def bands(similarity: float = SIMILARITY) -> int:
+    """How many bands a pair of just that similarity needs to have one in common with probability MEETS."""
     import math
 
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meet = similarity**BAND
+    return max(1, math.ceil(math.log(1 - MEETS) / math.log(1 - meet))) if meet < 1 else 1
 
 
-def mask_plan(texts: int, similarity: float = SIMILARITY) -> tuple[int, int]:
-    """(masks, bits of each) for so many distinct texts."""
-    import math
+def _key(text: Column, clashes: list[int]) -> Column:
+    """A text's 64-bit name; another one for those that share it with a different text."""
+    key = F.xxhash64(text)
+    return F.when(key.isin(clashes), F.xxhash64(F.lit("again"), F.lit(len(clashes)), text)).otherwise(key) if clashes else key
+
 
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, texts) / RUN)))
-    meet = (1 - similar_bits(similarity)) ** bits
-    return max(1, math.ceil(math.log(1 - MEETS) / math.log(1 - meet))) if meet < 1 else 1, bits
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[int]]:
+    """doc_id, text (null: empty) and text_key of every row, different texts with different keys, and the keys that were first given to several texts. A second hash
+    tells which: some n^2 / 2^65 of n texts, few enough for a list at any size."""
+    docs, known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), []
+    while True:
+        out = docs.withColumn("text_key", _key(F.col("text"), known))
+        second = F.xxhash64(F.lit("second"), "text")
+        found = out.groupBy("text_key").agg(F.min(second).alias("lo"), F.max(second).alias("hi")).where("lo <> hi").select("text_key").collect()
+        if not found:
+            return out, known
+        known = sorted({*known, *(r[0] for r in found)})
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key, group, keeper of every row: equal texts share a text_key, and chains of pairs whose shingle sets have Jaccard similarity of
     `similarity` or more share a group; keeper is true for the smallest doc_id (nulls last) of a group.
 
-    Each distinct text has WORDS SimHashes. Random masks of them (mask_plan) bring texts together; in a run texts are compared, by pivot tables and
+    Each distinct text has bands() band hashes of BAND min-hashes, and two SimHashes. Texts with a band in common meet; in such a run they are compared, by pivot tables and
     then popcount, with their neighbours, and of the pairs within MOST_BITS a spanning forest of least distances becomes candidates (_spanning): at most one
     pair a text, yet all that the run's pairs connect. Every candidate pair's whole shingle sets are compared, and those alike are joined. Then all other
     pairs within MOST_BITS whose texts are not joined yet are compared too (_across): whatever pair is left has been joined or found unlike. That holds for runs of any length: those with
     more rows than a window has are compared block by block (_cells).
     """
+    return _groups(keyed(docs)[0], size, similarity)
+
+
+def _groups(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     import numpy as np
 
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    fps = [f"fp{i}" for i in range(WORDS)]
-    own = written(_map_words(docs, size), "own")
-    nodes = written(own.groupBy("text_key").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in fps)), "nodes")
-    rng = np.random.default_rng(SEED + 1)
-    masks = []
-    count, bits = mask_plan(nodes.count(), similarity)
-    for i in range(count):
-        masks.append((fps[i % WORDS], _signed(sum(1 << int(x) for x in rng.choice(64, bits, replace=False)))))
+    own = written(_map_words(docs, size, similarity), "own")
+    nodes = written(own.groupBy("text_key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("fp0", "fp1", "bands"))), "nodes")
     p, q = (_signed(int(x)) for x in pivots(2))
     distance = F.bit_count(F.col("fp0").bitwiseXOR(F.lit(p))) + F.bit_count(F.col("fp1").bitwiseXOR(F.lit(q)))
-    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col(word).bitwiseAND(F.lit(m)).alias("bits")) for i, (word, m) in enumerate(masks))))
 
     def masked(of: DataFrame, *more: str) -> DataFrame:
-        rows = of.select("text_key", *more, "fp0", "fp1", distance.cast("int").alias("d"), keys.alias("m")).select("m.mask", "m.bits", "d", "text_key", *more, "fp0", "fp1")
+        rows = of.select("text_key", *more, "fp0", "fp1", distance.cast("int").alias("d"), F.posexplode("bands").alias("mask", "bits")).select("mask", "bits", "d", "text_key", *more, "fp0", "fp1")
         return rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "d")
 
     def joined(links: DataFrame) -> DataFrame:
@@ -339,6 +372,8 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
     rest = rest.unionByName(_map_arrays(_cells(long), whole, "a bigint, b bigint")).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     rooted = joined(links.unionByName(_verified(docs, nodes, rest, size, similarity))).select("text_key", "least", "root")
+    for old in (found, pairs, rest):
+        forget(old)
     keepers = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("n"), "least", "text_key")).alias("k"))
     rooted = rooted.join(keepers, "root").select("text_key", F.col("root").alias("group"), F.col("k.least").alias("kl"), F.col("k.text_key").alias("kt"))
     return own.select("doc_id", "text_key").join(rooted, "text_key").select("doc_id", "text_key", "group", (F.col("doc_id").eqNullSafe(F.col("kl")) & (F.col("text_key") == F.col("kt"))).alias("keeper"))
@@ -452,20 +487,38 @@ def _merged(label, a, b):
     return label
 
 
-def _map_words(docs: DataFrame, size: int) -> DataFrame:
+def _least(h, factors):
+    """The min-hashes of a set of hashes: for each factor the least of the mixed products; the largest number for the empty set."""
+    import numpy as np
+
+    out = np.full(len(factors), 2**64 - 1, "u8")
+    for at in range(0, len(h), 2_048):
+        x = h[at : at + 2_048, None] * factors[None, :]
+        np.minimum(out, (x ^ (x >> np.uint64(31))).min(axis=0), out=out)
+    return out
+
+
+def _map_words(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    count = bands(similarity)
+
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         import numpy as np
 
-        mixers = np.random.default_rng(SEED + 2).integers(0, 2**63, WORDS, "u8") * np.uint64(2) + np.uint64(1)
+        odd = np.random.default_rng(SEED + 2).integers(0, 2**63, 2 + count * BAND + BAND, "u8") * np.uint64(2) + np.uint64(1)
+        mixers, factors, folds = odd[:2], odd[2 : 2 + count * BAND], odd[2 + count * BAND :]
         for b in batches:
-            out = []
+            fps, own = [], []
             for t in b["text"]:
                 h = np.unique(hashes(t, size))  # each shingle once, as the similarity counts them
-                mixed = ((h ^ (h >> np.uint64(29))) * m for m in mixers)
-                out.append([simhash(x ^ (x >> np.uint64(32))) for x in mixed])
-            yield {"doc_id": b["doc_id"], "text_key": b["text_key"]} | {f"fp{i}": [x[i] for x in out] for i in range(WORDS)}
+                h ^= h >> np.uint64(29)
+                mixed = (h * m for m in mixers)
+                fps.append([simhash(x ^ (x >> np.uint64(32))) for x in mixed])
+                least = _least(h, factors).reshape(count, BAND)
+                least ^= least >> np.uint64(32)
+                own.append((least * folds[None, :]).sum(axis=1, dtype="u8").view("i8"))
+            yield {"doc_id": b["doc_id"], "text_key": b["text_key"], "fp0": [x[0] for x in fps], "fp1": [x[1] for x in fps], "bands": own}
 
-    return map_columns(docs, run, "doc_id bigint, text_key bigint" + "".join(f", fp{i} bigint" for i in range(WORDS)))
+    return map_columns(docs, run, "doc_id bigint, text_key bigint, fp0 bigint, fp1 bigint, bands array<bigint>")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -499,9 +552,10 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, si
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each near-duplicate group: the smallest doc_id's (nulls last); of rows that repeat it, one."""
-    kept = written(near_duplicate_groups(docs, size, similarity).where("keeper").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).select("doc_id", "text_key", "n"), "kept")
+    own, clashes = keyed(docs)
+    kept = written(_groups(own, size, similarity).where("keeper").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).select("doc_id", "text_key", "n"), "kept")
     repeated = not kept.where("n > 1").isEmpty()
     kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("_kept_id")) & (keyed["_text_key"] == F.col("_kept_key")), "left_semi")
-    return (out.dropDuplicates(["doc_id", "_text_key"]) if repeated else out).drop("_text_key")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), _key(F.coalesce("text", F.lit("")), clashes).alias("_key"))
+    out = rows.join(kept, rows["_id"].eqNullSafe(F.col("_kept_id")) & (rows["_key"] == F.col("_kept_key")), "left_semi")
+    return (out.dropDuplicates(["_id", "_key"]) if repeated else out).select("_row.*")

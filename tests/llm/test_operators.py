@@ -236,6 +236,22 @@ def test_simhash_odd(odd, empty):
     assert near_duplicates.simhash_components(empty).collect() == []
 
 
+def test_masks_lose_no_pair(spark):
+    """However many blocks there are, two fingerprints within two bits agree on a mask; and the longer masks link what the three do."""
+    rng = np.random.default_rng(4)
+    for n, count, least in ((1000, 3, 21), (1 << 28, 6, 32), (1 << 40, 10, 38)):
+        masks = near_duplicates.block_masks(n)
+        assert (len(masks), min(m.bit_count() for m in masks)) == (count, least)
+        for _ in range(300):
+            a, b = (int(x) for x in rng.choice(64, 2, replace=False))
+            assert any(not m & (1 << a | 1 << b) for m in masks)
+    values = {int(x) for x in rng.integers(0, 2**63, 50)}
+    values |= {x ^ 1 << int(rng.integers(0, 60)) ^ 1 << int(rng.integers(0, 60)) for x in values for _ in range(3)}
+    rows = spark.createDataFrame([(near_duplicates._signed(v),) for v in values], "fp bigint")
+    three, ten = ({r.node: r.root for r in common.components(near_duplicates.linked(rows, masks=near_duplicates.block_masks(n))).collect()} for n in (1000, 1 << 40))
+    assert three == ten and len(three) > 100
+
+
 def near_copies(n=60):
     """Texts in groups: copies with one word in forty changed, the rest unrelated."""
     rng = np.random.default_rng(7)
@@ -326,6 +342,49 @@ def test_near_duplicates_with_repeats(spark):
     assert len(pairs) == 30 and sum(group[a] != group[b] for a, b in pairs) == 0
 
 
+def test_near_duplicates_of_a_whole_table(spark):
+    """Every pair of sf0.01 at 0.8 or more shares a group, and the groups are those that such pairs make."""
+    data = duckdb.sql("select doc_id, coalesce(text, '') from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    sets, pairs = similar_pairs(data)
+    group, linked = grouped(spark, data), groups_by_union(pairs, sets)
+    assert len(pairs) > 50 and len(set(group.values())) == len(set(linked.values())) == len({(group[i], linked[i]) for i in sets})
+
+
+def test_short_near_duplicates(spark):
+    """Few shingles: texts of eight and nine words with four of five shingles in common."""
+    rng, data = np.random.default_rng(13), []
+    for _ in range(300):
+        own = [f"v{int(x)}" for x in rng.integers(0, 10**6, 9)]
+        data += [(len(data), " ".join(own)), (len(data) + 1, " ".join(own[:8]))]
+    group = grouped(spark, data)
+    assert sum(group[i] != group[i + 1] for i in range(0, 600, 2)) == 0 and len(set(group.values())) == 300
+
+
+def test_texts_with_one_key(spark, monkeypatch):
+    """Different texts whose first key is the same stay apart."""
+    rows = spark.createDataFrame([(i, f"text number {i % 7} of seven") for i in range(14)], "doc_id bigint, text string")
+
+    def short(text, clashes):
+        first = F.pmod(F.xxhash64(text), F.lit(2))
+        return F.when(first.isin(clashes), F.xxhash64(F.lit(len(clashes)), text)).otherwise(first) if clashes else first
+
+    monkeypatch.setattr(near_duplicates, "_key", short)
+    assert sorted(r.doc_id for r in near_duplicates.keep_one(rows).collect()) == list(range(7))
+
+
+def groups_by_union(pairs, nodes):
+    root = {n: n for n in nodes}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[top(a)] = top(b)
+    return {n: top(n) for n in nodes}
+
+
 def groups_by(pairs, nodes):
     root = {n: n for n in nodes}
     for _ in nodes:
