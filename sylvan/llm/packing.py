@@ -1,9 +1,9 @@
 """Bounded-space online best-fit packing of documents into token sequences.
 
 A document is its ids and an end id. Only documents longer than a sequence are cut, into whole sequences and a rest. Pieces are dealt evenly into tasks
-of about GROUP_PIECES (round robin over a written table, so no key can be hot); each task offers its pieces, longest first, to at most OPEN_BINS open
+of about GROUP_PIECES (round robin over a written table, so no key can be hot); each task takes its pieces as they arrive and offers each to at most OPEN_BINS open
 bins. A bitset has a bit for each free space that some open bin has: the lowest set bit at or above a piece's length is the best fit. When all bins are
-open and a piece fits none, the fullest closes. A task therefore holds lengths only, never texts or ids.
+open and a piece fits none, the fullest closes for a new one. A piece goes on as soon as it is placed, so a task holds the open bins and one batch of rows.
 
 Null text counts as empty: a piece of the end id alone. Repeated rows are packed each. Columns other than doc_id and text are ignored; an empty
 table gives no piece; sequences are numbered by task and bin.
@@ -23,7 +23,7 @@ from .common import map_columns, small_batches, written
 from .tokens import encoder
 
 SEQUENCE = 2_048
-OPEN_BINS = 65_536
+OPEN_BINS = 256
 GROUP_PIECES = 65_536
 
 
@@ -85,17 +85,10 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, g
     tasks = max(1, round(cut.count() / group_pieces))
 
     def place(batches: Iterator[dict]) -> Iterator[dict]:
-        task, rows = TaskContext.get().partitionId(), {}
+        task, bins = TaskContext.get().partitionId(), BestFit(sequence, open_bins)
         for batch in batches:
-            for name, values in batch.items():
-                rows.setdefault(name, []).extend(values)
-        lengths = rows.get("length", [])
-        bins = BestFit(sequence, open_bins)
-        order = sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True)
-        put = [bins.put(lengths[i]) for i in order]
-        for at in range(0, len(order), 10_000):
-            own = slice(at, at + 10_000)
-            yield {name: [values[i] for i in order[own]] for name, values in rows.items()} | {"sequence_id": [(task << 32) + b for b, _ in put[own]], "offset": [o for _, o in put[own]]}
+            put = [bins.put(n) for n in batch["length"]]
+            yield batch | {"sequence_id": [(task << 32) + b for b, _ in put], "offset": [o for _, o in put]}
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
     return map_columns(cut.repartition(tasks), place, schema + ", sequence_id bigint, offset bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, leaks, licences, near_duplicates, packing, privacy, quality, secrets, sharding, tokens
-from .common import documents
+from .common import documents, new_path
 
 TOKENIZER = "word_bpe_49k.json"
 PRIVACY_KEY = "surrogates-1"
@@ -23,8 +23,7 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, dictionary = tokens.write_tokens(documents(spark, sf_dir), _tokenizer(), end_id=2)
-    return tokens.read_tokens(spark, path, dictionary)
+    return tokens.read_tokens(spark, tokens.write_tokens(documents(spark, sf_dir), _tokenizer(), end_id=2))
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +33,12 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    placed = sharding.assign(docs, sharding.build_map(docs, SHARDS))
+    path = new_path(spark, "slot-map")
+    sharding.write_map(spark, sharding.build_map(docs, SHARDS), path)
+    edited = sharding.rebalance(docs, sharding.read_map(spark, path))
+    if edited.moved:
+        sharding.write_map(spark, edited, path)
+    placed = sharding.assign(docs, sharding.read_map(spark, path))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 

@@ -6,7 +6,7 @@ assign (a name such as password, `=` or `:`, a value of 6+ characters), access (
 The method's own kind, markov: a run of 16+ characters of an identifier or base64 alphabet that is likelier as a random string than as an ordinary
 identifier. Both models are first-order over characters, trained from labelled samples: random strings drawn evenly from the usual alphabets
 by a fixed seed, and ordinary identifiers put together from common words in the usual styles. A run counts if some stretch of 16+ characters in it has a
-mean ratio of LIMIT nats a character or more (so an ordinary prefix hides nothing), it has a letter, and it touches no base span; the span is the whole run.
+mean ratio of LIMIT nats a character or more (so an ordinary prefix hides nothing), it has a letter, and no base span overlaps or adjoins it; the span is the whole run.
 
 Null text counts as empty; empty texts and repeated rows each have their row; texts are read whole; other columns than doc_id and text are ignored; an
 empty table gives an empty result.
@@ -28,7 +28,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 STRETCH = 16
-RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+#: A sign that stands for each character of a base span while runs are looked for (where a text has it itself, it counts as a space).
+MARK = "\ue000"
+RUN_SIGNS = "A-Za-z0-9+/_-"
 
 KINDS = ("assign", "access", "hex", "markov")
 LIMIT = 0.6
@@ -91,26 +93,29 @@ def ratios(labelled: list[tuple[str, int]]) -> list[float]:
     return [logs[1][a][b] - logs[0][a][b] for a in range(n) for b in range(n)]
 
 
-def likelihood_ratio(run: Column, table: list[float]) -> Column:
-    """Mean nats a character pair by which run is likelier as a random string."""
+def _places(run: Column) -> Column:
+    """array<int>: each character's place in the table (other ones: the last)."""
+    n = len(ALPHABET)
+    by_code = F.lit([ALPHABET.find(chr(c)) if chr(c) in ALPHABET else n for c in range(128)])
+    return F.transform(F.split(run, ""), lambda c: F.coalesce(F.get(by_code, F.ascii(c)), F.lit(n)))
+
+
+def _ratios_of(run: Column, table: list[float], less: float = 0.0) -> Column:
+    """array<double>: the ratio of each pair of neighbours, less a number."""
     n = len(ALPHABET) + 1
-    place = lambda c: F.pmod(F.instr(F.lit(ALPHABET), c) - 1 + n, F.lit(n))  # noqa: E731  not found: the last place
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(run)), lambda i: place(F.substr(run, i, F.lit(1))))
+    pairs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.get(F.lit(table), F.get(c, i) * n + F.get(c, i + 1)) - less)
+    return F.transform(F.array(_places(run)), pairs)[0]
 
-    def total(c: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.get(F.lit(table), F.get(c, i) * n + F.get(c, i + 1)))
-        return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / (F.size(c) - 1)
 
-    return F.transform(F.array(codes), total)[0]
+def likelihood_ratio(run: Column, table: list[float]) -> Column:
+    """Mean nats a character pair by which run is likelier as a random string."""
+    return F.transform(F.array(_ratios_of(run, table)), lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x))[0]
 
 
 def random_stretch(run: Column, table: list[float], limit: float) -> Column:
     """Whether some stretch of STRETCH or more characters of run has a mean ratio of limit or more: over the sums less limit a pair, the last one against
     the least of those that lie STRETCH - 1 pairs back or more."""
-    n, lag = len(ALPHABET) + 1, STRETCH - 1
-    place = lambda c: F.pmod(F.instr(F.lit(ALPHABET), c) - 1 + n, F.lit(n))  # noqa: E731  not found: the last place
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(run)), lambda i: place(F.substr(run, i, F.lit(1))))
-    pairs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.get(F.lit(table), F.get(c, i) * n + F.get(c, i + 1)) - limit)
+    lag = STRETCH - 1
 
     def best(x: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
@@ -123,14 +128,17 @@ def random_stretch(run: Column, table: list[float], limit: float) -> Column:
         zero = F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("back"), F.lit(0.0).alias("least"), F.lit(float("-inf")).alias("most"))
         return F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), zero, step, lambda acc: acc["most"] >= 0)
 
-    return F.transform(F.transform(F.array(codes), pairs), best)[0]
+    return F.transform(F.array(_ratios_of(run, table, limit)), best)[0]
 
 
 def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of a pattern's matches (0-based, in code points): the gaps that split() leaves give the places."""
+    """array<struct<start, end, value>> of a pattern's matches (0-based, in code points): the gaps that split() leaves give the places.
+
+    Matches are summed up in blocks of about the root of their number, and then the blocks, so that the copying in array concatenation stays under n^1.5.
+    """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(gaps, lambda g: F.char_length(g)).alias("gap"), found.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    steps = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), x["value"].alias("value")))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -138,7 +146,25 @@ def _spans(text: Column, pattern: str) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
         return F.struct(end.alias("at"), F.when(x["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
-    return F.aggregate(steps, empty, step, lambda acc: acc["out"])
+    def blocks(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda b: F.aggregate(F.slice(x, b * size + 1, size), empty, step))
+
+    def shifted(x: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(x, none, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+        move = lambda b, at: F.transform(b["out"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value")))
+        return F.flatten(F.zip_with(x, starts, move))
+
+    return F.transform(F.transform(F.array(steps), blocks), shifted)[0]
+
+
+def _masked(text: Column, pattern: str, kept=None) -> Column:
+    """text with MARK for each character of a pattern's matches (of those that `kept` holds for)."""
+    mark = lambda v: F.repeat(F.lit(MARK), F.char_length(v))
+    shown = mark if kept is None else lambda v: F.when(kept(v), mark(v)).otherwise(v)
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, v: F.array(g, F.coalesce(shown(v), F.lit(""))))
+    return F.array_join(F.flatten(pairs), "")
 
 
 _NONE = "array<struct<start:int,end:int,value:string>>"
@@ -154,19 +180,24 @@ def scan(docs: DataFrame, limit: float = LIMIT, labelled: list[tuple[str, int]]
     named = F.contains(low, F.lit(NAMES[0]))
     for name in NAMES[1:]:
         named = named | F.contains(low, F.lit(name))
+    named, keyed, hexed = named & text.rlike(ASSIGN), F.contains(text, F.lit("AKIA")), text.rlike(HEX)
+    long_enough = lambda v: F.char_length(F.regexp_extract(v, ASSIGN, 2)) >= ASSIGN_VALUE
     rows = rows.select(
         "doc_id", "text",
-        F.when(named & text.rlike(ASSIGN), _spans(text, ASSIGN)).otherwise(none).alias("assign"),
-        F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS)).otherwise(none).alias("access"),
-        F.when(text.rlike(HEX), _spans(text, HEX)).otherwise(none).alias("hex"),
-        F.when(text.rlike(rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[A-Za-z]){RUN}"), _spans(text, rf"(?<![A-Za-z0-9+/_-]){RUN}")).otherwise(none).alias("runs"),
+        F.when(named, F.filter(_spans(text, ASSIGN), lambda s: long_enough(s["value"]))).otherwise(none).alias("assign"),
+        F.when(keyed, _spans(text, ACCESS)).otherwise(none).alias("access"),
+        F.when(hexed, _spans(text, HEX)).otherwise(none).alias("hex"),
+        text.rlike(rf"(?<![{RUN_SIGNS}])(?=[{RUN_SIGNS}]*[A-Za-z])[{RUN_SIGNS}]{{16,}}").alias("able"),
     )
-    value = lambda s: F.regexp_extract(s["value"], ASSIGN, 2)
-    rows = rows.withColumn("assign", F.filter("assign", lambda s: F.char_length(value(s)) >= ASSIGN_VALUE))
-    rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    lettered = lambda s: s["value"].rlike("[A-Za-z]")
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    markov = F.filter("runs", lambda s: lettered(s) & free(s) & random_stretch(s["value"], table, limit))
+    # runs are looked for between the base spans: those are masked by one sign, and a run that has it is none
+    clean, some = F.translate(text, MARK, " "), lambda name: F.size(name) > 0
+    rows = rows.withColumn("text", F.when(some("assign"), _masked(clean, ASSIGN, long_enough)).otherwise(clean))
+    rows = rows.withColumn("text", F.when(some("access"), _masked(text, ACCESS)).otherwise(text))
+    rows = rows.withColumn("text", F.when(some("hex"), _masked(text, HEX)).otherwise(text))
+    signs = MARK + RUN_SIGNS
+    rows = rows.withColumn("runs", F.when(F.col("able"), _spans(text, rf"(?<![{signs}])[{signs}]{{16,}}={{0,2}}")).otherwise(none))
+    plain = lambda s: ~F.contains(s["value"], F.lit(MARK)) & s["value"].rlike("[A-Za-z]")
+    markov = F.filter("runs", lambda s: plain(s) & random_stretch(s["value"], table, limit))
     return rows.select("doc_id", "assign", "access", "hex", markov.alias("markov"))
 
 

@@ -1,15 +1,19 @@
 """Token ids as compressed binary blocks with a shared dictionary.
 
-The written form is a table of blocks in the shared folder (Spark's committer makes a lost task's output vanish and be written again). A block's bytes:
+Written under one path, by Spark's committer (a lost task's output vanishes and is written again):
+
+- dictionary: one row with the zstandard dictionary and its SHA-256;
+- blocks: shard, block, ids, first_doc, last_doc (the least and the greatest doc_id in it) and data; shards are ranges of doc_id, in order, null doc_ids first, so
+  parquet's statistics lead to a document's block (read_document). The bytes of data:
 
     magic "TIDZ0001" | u32 documents n | u32 bytes per id (2 or 4) | 32 bytes SHA-256 of the dictionary (zeros: none)
     | u64 ids before the block in its shard | n x u8 has an id | n x i64 doc_id | n x u32 ids | (n+1) x u64 offsets | zstandard frames
 
 all little-endian. Each document is a frame of its own, made with a dictionary trained on serialized id arrays, so one document is read by one
-slice and one small decompression (read_one). Shards are ranges of doc_id, in order; null doc_ids come first.
+slice and one small decompression (read_one).
 
 Null text counts as empty (its ids are the end id alone); texts of any length are encoded whole; repeated rows and equal doc_ids each keep a row of
-their own (in order of text); columns other than doc_id and text are ignored; an empty table writes no block.
+their own (in order of a hash of the text, so that no doc_id and no null is too many rows for one task); columns other than doc_id and text are ignored; an empty table writes no block.
 """
 
 from __future__ import annotations
@@ -202,13 +206,18 @@ class Block:
         return ids
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, dictionary: bytes | None = None) -> tuple[str, bytes]:
-    """Encode every row, write the blocks under path (new in the shared folder if none is given); returns the path and the dictionary."""
+BLOCKS = "shard int, block int, ids bigint, first_doc bigint, last_doc bigint, data binary"
+
+
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, dictionary: bytes | None = None) -> str:
+    """Encode every row, write dictionary and blocks under path (new in the shared folder if none is given); returns the path."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     path = path or new_path(spark, "tokens")
     dictionary = train_dictionary(docs, tokenizer_path) if dictionary is None else dictionary
+    row = F.unhex(F.lit(dictionary.hex()))
+    spark.range(1, numPartitions=1).select(row.alias("dictionary"), F.sha2(row, 256).alias("sha256")).write.parquet(f"{path}/dictionary")
 
     def blocks(batches: Iterator[dict]) -> Iterator[dict]:
         import zstandard
@@ -220,7 +229,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
 
         def flush():
             total = sum(counts)
-            row = {"shard": [shard], "block": [state["n"]], "ids": [total], "data": [pack_block(ids, counts, frames, encode.width, dictionary, state["before"])]}
+            own = [d for d in ids if d is not None]
+            ends = {"first_doc": [min(own, default=None)], "last_doc": [max(own, default=None)]}
+            row = {"shard": [shard], "block": [state["n"]], "ids": [total], **ends, "data": [pack_block(ids, counts, frames, encode.width, dictionary, state["before"])]}
             state["n"], state["before"] = state["n"] + 1, state["before"] + total
             for x in (ids, counts, frames):
                 x.clear()
@@ -241,17 +252,35 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
         if ids:
             yield flush()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_columns(ordered, blocks, "shard int, block int, ids bigint, data binary").write.option("compression", "none").parquet(path)
-    return path, dictionary
+    ordered = docs.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
+    map_columns(ordered.select("doc_id", "text"), blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    return path
+
+
+def read_dictionary(spark, path: str) -> bytes:
+    row = spark.read.schema("dictionary binary, sha256 string").parquet(f"{path}/dictionary").first()
+    if hashlib.sha256(row["dictionary"]).hexdigest() != row["sha256"]:
+        raise ValueError("the dictionary is not the one that was written")
+    return bytes(row["dictionary"])
+
+
+def read_document(spark, path: str, doc_id: int) -> list[list[int]]:
+    """The ids of every row of one doc_id: only blocks whose range has it are read, and of those only its frames."""
+    dictionary, out = read_dictionary(spark, path), []
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
+    for row in blocks.orderBy("shard", "block").select("data").toLocalIterator():
+        block = Block(bytes(row["data"]), dictionary)
+        out += [list(struct.unpack(f"<{block.counts[i]}I", block.read_one(i))) for i, d in enumerate(block.doc_ids) if d == doc_id]
+    return out
 
 
-def read_tokens(spark, path: str, dictionary: bytes, with_ids: bool = False) -> DataFrame:
+def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document in the files under path; start counts the ids of all documents before it.
 
-    Only one total a shard goes to the driver, whose number is that of the write's partitions.
+    Only the dictionary and one total a shard go to the driver, whose number is that of the write's partitions.
     """
-    blocks = spark.read.schema("shard int, block int, ids bigint, data binary").parquet(path)
+    dictionary = read_dictionary(spark, path)
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     totals = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("ids").alias("n")).collect()}
     base, at = {}, 0
     for shard in sorted(totals):
