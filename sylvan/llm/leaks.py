@@ -4,28 +4,34 @@ A test item of n words (lower case, letters and digits only) may differ from a p
 is split into e + 1 pieces; a passage within e edits has at least one piece unchanged. All pieces are searched at once in each whole text (an
 Aho-Corasick automaton), and each hit's surroundings are compared with the item by Myers' bit-parallel edit distance.
 
-The items are the query set: they are read in blocks of BLOCK_ITEMS, each broadcast by its own size, and every text meets every block. Null or empty texts
-match nothing; items without a word are no queries; repeated rows give repeated results; equal items each give theirs. A text's column names are kept as they
-are; an empty table of either kind gives an empty result.
+The items are the query set: they are read in blocks of BLOCK_ITEMS, each a broadcast variable, and every text meets every block. The driver and a worker hold one block each
+(a worker makes the next one's automaton when it gets there). An item of fewer than LEAST_WORDS words is found where it stands word for word, so a very common word as an
+item is found in very many texts: a row each, as asked for.
+
+Null or empty texts match nothing; items without a word are no queries; repeated rows give repeated results; equal items each give theirs. Other columns are kept as they
+are, and the added one is called by the name asked for, with underscores after it while there is a column of that name; an empty table of either kind gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_name, small_batches, written
 
 ERRORS = 0.1
 LEAST_WORDS = 8
 BLOCK_ITEMS = 20_000
 
+HITS = "array<struct<item:bigint,edits:int,first_word:int,end_word:int>>"
+
 _WORD = re.compile(r"[^\W_]+")
-_matchers: dict[int, Matcher] = {}
+_matchers: dict[str, Matcher] = {}
 
 
 def words(text: str | None) -> list[str]:
@@ -135,13 +141,25 @@ class Matcher:
         return sorted(out)
 
 
-def _hits(block: list[tuple[int, list[str]]], errors: float, text: Column) -> Column:
-    mark = hash((tuple((k, tuple(w)) for k, w in block), errors))
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
+    block: list[tuple[int, list[str]]] = []
+    for r in items.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text").toLocalIterator():
+        block.append((r["item_id"], words(r["text"])))
+        if len(block) >= BLOCK_ITEMS:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _hits(spark: SparkSession, block: list[tuple[int, list[str]]], errors: float, text: Column) -> Column:
+    mark, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(block)
 
-    @F.pandas_udf("array<struct<item:bigint,edits:int,first_word:int,end_word:int>>")
+    @F.pandas_udf(HITS)
     def hits(texts: pd.Series) -> pd.Series:
         if mark not in _matchers:
-            _matchers[mark] = Matcher(block, errors)
+            _matchers.clear()
+            _matchers[mark] = Matcher(shared.value, errors)
         find = _matchers[mark]
         return pd.Series([[dict(zip(("item", "edits", "first_word", "end_word"), h, strict=True)) for h in find(t)] for t in texts])
 
@@ -149,13 +167,16 @@ def _hits(block: list[tuple[int, list[str]]], errors: float, text: Column) -> Co
 
 
 def with_hits(docs: DataFrame, items: DataFrame, errors: float = ERRORS, name: str = "hits") -> DataFrame:
-    """docs with an array of the items (item_id) that each whole text contains within their budgets."""
-    small_batches(docs.sparkSession)
-    rows = [(r["item_id"], words(r["text"])) for r in items.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text").toLocalIterator()]
-    columns = [_hits(rows[i : i + BLOCK_ITEMS], errors, F.col("text")) for i in range(0, len(rows), BLOCK_ITEMS)]
-    if not columns:
-        return docs.withColumn(name, F.array().cast("array<struct<item:bigint,edits:int,first_word:int,end_word:int>>"))
-    return docs.withColumn(name, F.concat(*columns) if len(columns) > 1 else columns[0])
+    """docs with an array of the items (item_id) that each whole text contains within their budgets. Several blocks are a pass over the texts each, through
+    written tables, so that no worker goes back and forth between them."""
+    spark, name = docs.sparkSession, free_name(docs, name)
+    small_batches(spark)
+    out, before = docs.withColumn(name, F.array().cast(HITS)), False
+    for block in _blocks(items):
+        out = written(out, "hits") if before else docs
+        own = _hits(spark, block, errors, F.col("text"))
+        out, before = out.withColumn(name, F.concat(name, own) if before else own), True
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> DataFrame:

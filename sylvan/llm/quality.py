@@ -4,10 +4,10 @@ score = 1 / (1 + exp(-y)), y = w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^
 linear in a text's distinct words (the sum-of-squares identity).
 
 Inputs x: BUCKETS hashed words (log counts, of unit length), STATISTICS of the text's structure and, as metadata, its length. Labels, lang, source and
-doc_id are never inputs. It is trained on TRAIN_ROWS labelled rows at most, chosen by a hash of doc_id; every text is scored whole.
+doc_id are never inputs. It is trained on TRAIN_ROWS labelled rows and TRAIN_BYTES of their features at most, chosen by a hash of doc_id; every text is scored whole.
 
 Null text counts as empty (only the bias and the statistics speak). Rows without a label or with a null one aren't trained on; of several labels of
-one doc_id the least counts. Without any labelled row, or with one class only, the score is that class's smoothed share. Repeated rows score alike; other columns are ignored;
+one doc_id the least counts, of several texts the first in order. Without any labelled row, or with one class only, the score is that class's smoothed share. Repeated rows score alike; other columns are kept, and the score is called by the name asked for, with underscores after it while there is a column of that name;
 an empty table gives an empty result.
 """
 
@@ -22,11 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, small_batches
+from .common import forget, free_name, map_columns, small_batches, written
 
 BUCKETS = 1 << 15
 RANK = 8
 TRAIN_ROWS = 8_000
+TRAIN_BYTES = 128 << 20
 #: Passes over the training rows: EPOCHS, or as many as make STEPS batches.
 EPOCHS = 10
 STEPS = 1_000
@@ -169,25 +170,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine:
-    """A machine from labels (doc_id, quality) outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Machine:
+    """A machine from labels (doc_id, quality) outside the held-out fold: the first rows by a hash of doc_id, `most` and most_bytes of features at most."""
     import numpy as np
 
     small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    order = F.xxhash64("doc_id").alias("place")
+    chosen = known.orderBy(order, "doc_id").limit(most)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         import numpy as np
 
         for b in batches:
             rows = [features(t) for t in b["text"]]
-            yield {"doc_id": b["doc_id"], "label": b["label"], "stats": [r[0] for r in rows], "at": [np.array(r[1], "i4").tobytes() for r in rows], "x": [np.array(r[2], "f4").tobytes() for r in rows]}
-
-    # at most `most` ids: the bound holds for the broadcast side
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = map_columns(texts, run, "doc_id bigint, label int, stats array<double>, at binary, x binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["stats"]))
+            at, x = [np.array(r[1], "i4").tobytes() for r in rows], [np.array(r[2], "f4").tobytes() for r in rows]
+            yield {"doc_id": b["doc_id"], "label": b["label"], "bytes": [200 + len(a) + len(c) for a, c in zip(at, x, strict=True)], "stats": [r[0] for r in rows], "at": at, "x": x}
+
+    # at most `most` ids: the bound holds for the broadcast side, and one text an id for what is learnt from
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    table = written(map_columns(texts, run, "doc_id bigint, label int, bytes bigint, stats array<double>, at binary, x binary"), "features")
+    taken, total = [], 0
+    for r in table.select("doc_id", "bytes", order).orderBy("place", "doc_id").collect():
+        total += r["bytes"]
+        if total > most_bytes:
+            break
+        taken.append(r["doc_id"])
+    got = table.where(F.col("doc_id").isin(taken)).collect() if total > most_bytes else table.collect()
+    forget(table)
+    got.sort(key=lambda r: r["doc_id"])
     return fit([(r["stats"], np.frombuffer(r["at"], "i4"), np.frombuffer(r["x"], "f4")) for r in got], [r["label"] for r in got])
 
 
@@ -200,7 +211,7 @@ def with_score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFr
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores([features(t) for t in texts])) if len(texts) else pd.Series([], dtype="float64")
 
-    return docs.withColumn(name, score(F.col("text")))
+    return docs.withColumn(free_name(docs, name), score(F.col("text")))
 
 
 def predicted(score: Column, threshold: float = THRESHOLD) -> Column:

@@ -79,6 +79,48 @@ def test_closed_syncmers_by_definition(spark):
     assert got == want
 
 
+def naive_likeness(a, b):
+    first = lambda x: {h: i for i, h in reversed(list(enumerate(dict.fromkeys(x))))}
+    a, b = first(a), first(b)
+    if not a or not b:
+        return float(len(a) == len(b))
+    shifts = sorted(b[h] - i for h, i in a.items() if h in b)
+    middle, slack = shifts[len(shifts) // 2] if shifts else 0, max(8, max(len(a), len(b)) // 8)
+    near = sum(abs(s - middle) <= slack for s in shifts)
+    return near / (len(a) + len(b) - near)
+
+
+def test_likeness_by_a_plain_copy(spark):
+    rng = np.random.default_rng(9)
+    pairs = [([], []), ([], [1]), ([5], [5]), ([1, 2], [3, 4])]
+    for _ in range(150):
+        a = [int(x) for x in rng.integers(-(2**31), 2**31, int(rng.integers(1, 300)))] * int(rng.integers(1, 3))
+        b = list(a)
+        for _ in range(int(rng.integers(0, 5))):
+            at, n = int(rng.integers(0, len(b) + 1)), int(rng.integers(0, 60))
+            b[at : at + int(rng.integers(0, 60))] = [int(x) for x in rng.integers(-(2**31), 2**31, n)]
+        if rng.random() < 0.3:
+            b = b[len(b) // 2 :] + b[: len(b) // 2]
+        pairs.append((a, b))
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<int>, b array<int>")
+    got = {r.i: r.x for r in rows.select("i", fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).collect()}
+    assert all(got[i] == pytest.approx(naive_likeness(a, b)) for i, (a, b) in enumerate(pairs))
+    whole = list(range(1000))
+    moved = spark.createDataFrame([(whole, [*range(2000, 2400), *whole]), (whole, whole[500:] + whole[:500])], "a array<int>, b array<int>").select(fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [round(r.x, 3) for r in moved] == [round(1000 / 1400, 3), round(500 / 1500, 3)]  # moved as a whole; halves that have changed places
+
+
+def test_order_with_hot_ids_and_nulls(spark):
+    """Every row's next is the one after it, whatever ids repeat, and no bucket has a hot id to itself."""
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, f"text {i}") for i in range(1500)]
+    out = fingerprints.with_next(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    got = out.where("not copy").collect()
+    tie = lambda t: near_duplicates._signed(xxh64_intdigest(t.encode(), 42))
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1])))]
+    assert {r.text: r.next_text for r in got} == dict(zip(order, order[1:] + order[:1], strict=True))
+    assert max(r["count"] for r in out.groupBy("b").count().collect()) < 200
+
+
 def test_fingerprints_odd(odd, empty):
     rows = fingerprints.edit_likeness(odd).collect()
     assert len(rows) == len(ODD)
@@ -574,6 +616,24 @@ def test_machine_is_all_pairs():
     assert m.scores([(stats, at, x)])[0] == pytest.approx(1 / (1 + np.exp(-y)))
 
 
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """One text an id, so many rows and bytes, the first by hash; what is learnt from does not depend on repeats."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: seen.append((len(rows), labels, [list(r[1]) for r in rows])))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    once = spark.createDataFrame([(i, f"some text number {i}") for i in range(40)], "doc_id bigint, text string")
+    quality.train(once, labels, most=7)
+    quality.train(once.unionByName(once).unionByName(spark.createDataFrame([(i, "zzz") for i in range(40)], "doc_id bigint, text string")), labels, most=7)
+    quality.train(once, labels, most=7, most_bytes=3 * 240)
+    assert seen[0] == seen[1] and seen[0][0] == 7 and seen[2][0] == 3 and all(x in seen[0][2] for x in seen[2][2])
+
+
+def test_score_beside_a_column_of_its_name(spark):
+    machine = quality.fit([([0.0] * len(quality.STATISTICS), [1], [1.0])], [1])
+    rows = quality.with_score(spark.createDataFrame([(1, "a", "kept")], "doc_id int, text string, score string"), machine)
+    assert rows.columns == ["doc_id", "text", "score", "score_"] and rows.first().score == "kept"
+
+
 def test_quality_odd(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, None), (None, 1), (99, 1)], "doc_id bigint, quality int")
     machine = quality.train(odd, labels)
@@ -845,6 +905,17 @@ def test_leaks_in_the_data(spark, texts):
     assert {(d, k) for d, t in texts.items() for k, x in items if x in t} <= got
 
 
+def test_leaks_in_blocks(spark, monkeypatch):
+    """Items in several blocks, and a column of the result's name, give what one block gives."""
+    items = spark.createDataFrame([(k, f"item number {k} has these words") for k in range(7)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(d, f"before item number {d} has these words, and item number {d + 1} has these words", "own") for d in range(7)], "doc_id bigint, text string, hits string")
+    whole = {r.doc_id: sorted(h.item for h in r.hits_) for r in leaks.with_hits(docs, items).collect()}
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 3)
+    rows = leaks.with_hits(docs, items)
+    assert rows.columns == ["doc_id", "text", "hits", "hits_"] and {r.doc_id: sorted(h.item for h in r.hits_) for r in rows.collect()} == whole
+    assert whole == {d: [k for k in (d, d + 1) if k < 7] for d in range(7)}
+
+
 def test_leaks_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, "two words"), (2, None), (3, "..."), (None, "one"), (4, "two words")], "item_id bigint, text string")
     assert sorted((r.doc_id, r.item_id) for r in leaks.contaminated(odd, items).collect()) == [(None, 1), (None, 4)]
