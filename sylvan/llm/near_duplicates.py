@@ -43,10 +43,11 @@ MEETS = 0.99999
 #: Bits of the 128 of two SimHashes in which texts to be compared may differ. At 0.8 they differ in 19 of them on average, and in 24 at worst (sets of four and five
 #: shingles), with standard deviations of 4.0 and 4.4: one such pair in 10^6 is beyond this.
 MOST_BITS = 44
-#: Earlier neighbours in a run of equal bands to which near_duplicate_groups compares a fingerprint at first, and the rows of a block of those runs that
-#: are longer: there all pairs of blocks are compared later.
+#: Earlier neighbours in a run of equal bands to which near_duplicate_groups compares a fingerprint at first. Runs up to SMALL rows hand on pairs to be verified; in
+#: larger ones they are verified where they meet, two blocks of about BLOCK shingles at a time.
 NEIGHBOURS = 512
-BLOCK = 2_048
+SMALL = 8
+BLOCK = 1 << 20
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -127,7 +128,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _runs(batches: Iterator[dict], long: int) -> Iterator[tuple[bool, dict]]:
+def _runs(batches: Iterator[dict], long: int, rows: int = 65_536) -> Iterator[tuple[bool, dict]]:
     """(is part of a run longer than `long`, columns), for rows sorted by (mask, bits); other runs come whole, many at a time."""
     import numpy as np
 
@@ -139,7 +140,7 @@ def _runs(batches: Iterator[dict], long: int) -> Iterator[tuple[bool, dict]]:
                 yield is_long, {k: v[in_long == is_long] for k, v in rows.items()}
 
     held, running = None, None  # running: the key of a long run whose first rows have been given
-    for now in _gathered(batches):
+    for now in _gathered(batches, rows):
         if running is not None:
             same = (now["mask"] == running[0]) & (now["bits"] == running[1])
             n = len(same) if same.all() else int((~same).argmax())
@@ -161,7 +162,7 @@ def _runs(batches: Iterator[dict], long: int) -> Iterator[tuple[bool, dict]]:
         yield from split(held)
 
 
-def _gathered(batches: Iterator[dict], rows: int = 65_536) -> Iterator[dict]:
+def _gathered(batches: Iterator[dict], rows: int) -> Iterator[dict]:
     import numpy as np
 
     some: list[dict] = []
@@ -316,11 +317,11 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, similarity: floa
     """doc_id, text_key, group, keeper of every row: equal texts share a text_key, and chains of pairs whose shingle sets have Jaccard similarity of
     `similarity` or more share a group; keeper is true for the smallest doc_id (nulls last) of a group.
 
-    Each distinct text has bands() band hashes of BAND min-hashes, and two SimHashes. Texts with a band in common meet; in such a run they are compared, by pivot tables and
-    then popcount, with their neighbours, and of the pairs within MOST_BITS a spanning forest of least distances becomes candidates (_spanning): at most one
+    Each distinct text has bands() band hashes of BAND min-hashes, and two SimHashes. Texts with a band in common meet; in such a run they are compared, by pivot tables,
+    popcount and the sizes of their sets, with their neighbours, and of the pairs within MOST_BITS a spanning forest of least distances becomes candidates (_spanning): at most one
     pair a text, yet all that the run's pairs connect. Every candidate pair's whole shingle sets are compared, and those alike are joined. Then all other
-    pairs within MOST_BITS whose texts are not joined yet are compared too (_across): whatever pair is left has been joined or found unlike. That holds for runs of any length: those with
-    more rows than a window has are compared block by block (_cells).
+    pairs within MOST_BITS whose texts are not joined yet are compared too: those of small runs as pairs, those of larger ones in the run, which their shingle sets are
+    sent to, so that only links come out of it however many pairs there are (_alike). A run of any length is cut into blocks of which every two meet (_cells).
     """
     return _groups(keyed(docs)[0], size, similarity)
 
@@ -330,77 +331,111 @@ def _groups(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 
     small_batches(docs.sparkSession)
     own = written(_map_words(docs, size, similarity), "own")
-    nodes = written(own.groupBy("text_key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("fp0", "fp1", "bands"))), "nodes")
+    nodes = written(own.groupBy("text_key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "fp0", "fp1", "bands"))), "nodes")
     p, q = (_signed(int(x)) for x in pivots(2))
-    distance = F.bit_count(F.col("fp0").bitwiseXOR(F.lit(p))) + F.bit_count(F.col("fp1").bitwiseXOR(F.lit(q)))
+    distance = (F.bit_count(F.col("fp0").bitwiseXOR(F.lit(p))) + F.bit_count(F.col("fp1").bitwiseXOR(F.lit(q)))).cast("int").alias("d")
 
-    def masked(of: DataFrame, *more: str) -> DataFrame:
-        rows = of.select("text_key", *more, "fp0", "fp1", distance.cast("int").alias("d"), F.posexplode("bands").alias("mask", "bits")).select("mask", "bits", "d", "text_key", *more, "fp0", "fp1")
+    def met(of: DataFrame, *more: str) -> DataFrame:
+        rows = of.select("text_key", *more, "n", "fp0", "fp1", distance, F.posexplode("bands").alias("mask", "bits")).select("mask", "bits", "d", "text_key", *more, "n", "fp0", "fp1")
         return rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "d")
 
     def joined(links: DataFrame) -> DataFrame:
         roots = written(components(links), "roots")
         return nodes.join(roots, nodes["text_key"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "text_key"))
 
+    def row_columns(part: dict, which) -> dict:
+        key = part["text_key"].astype("i8")[which]
+        return {"row": np.ones(len(key), bool), "mask": part["mask"][which], "a": key, "b": part["bits"][which]}
+
+    def pair_columns(x: dict) -> dict:
+        return {"row": np.zeros(len(x["a"]), bool), "mask": np.zeros(len(x["a"]), "i4")} | x
+
     def nearest(batches: Iterator[dict]) -> Iterator[dict]:
         for is_long, part in _runs(batches, NEIGHBOURS + 1):
-            key = part["text_key"].astype("i8")
-            for x in _ordered(key, [_spanning(part, MOST_BITS, NEIGHBOURS)]):
-                yield {"long": np.zeros(len(x["a"]), bool), "mask": np.zeros(len(x["a"]), "i4")} | x
+            for x in _ordered(part["text_key"].astype("i8"), [_spanning(part, similarity)]):
+                yield pair_columns(x)
             if is_long:
-                yield {"long": np.ones(len(key), bool), "mask": part["mask"], "a": key, "b": part["bits"]}
+                yield row_columns(part, slice(None))
 
     def others(batches: Iterator[dict]) -> Iterator[dict]:
         for is_long, part in _runs(batches, NEIGHBOURS + 1):
-            if not is_long:
-                part = _divided(part)
-                yield from _ordered(part["text_key"].astype("i8"), _across(part, MOST_BITS, NEIGHBOURS))
-
-    def whole(batches: Iterator[dict]) -> Iterator[dict]:
-        for _, part in _runs(batches, 1 << 62):
+            if is_long:
+                continue
             part = _divided(part)
-            yield from _ordered(part["text_key"].astype("i8"), _across(part, MOST_BITS, len(part["mask"])))
-
-    found = written(_map_arrays(masked(nodes), nearest, "long boolean, mask int, a bigint, b bigint"), "found")
-    pairs = written(found.where("not long").select("a", "b").distinct(), "pairs")
+            starts = _starts(part) if len(part["mask"]) else np.zeros(0, "i8")
+            lengths = np.diff(np.append(starts, len(part["mask"])))
+            few, some = np.repeat(lengths <= SMALL, lengths), np.zeros(len(part["mask"]), bool)
+            pairs = []
+            for i, j in _across(part, similarity):
+                pairs.append((i[few[i]], j[few[i]]))
+                some[i[~few[i]]] = some[j[~few[i]]] = True
+            for x in _ordered(part["text_key"].astype("i8"), pairs):
+                yield pair_columns(x)
+            if some.any():
+                yield row_columns(part, some)
+
+    def within(batches: Iterator[dict]) -> Iterator[dict]:
+        for _, part in _runs(batches, 1 << 62, 2_048):
+            if kept := _alike(part, similarity):
+                yield {"a": [min(x) for x in kept], "b": [max(x) for x in kept]}
+
+    schema = "row boolean, mask int, a bigint, b bigint"
+    found = written(_map_arrays(met(nodes), nearest, schema), "found")
+    pairs = written(found.where("not row").select("a", "b").distinct(), "pairs")
     links = written(_verified(docs, nodes, pairs, size, similarity), "links")
-    so_far = joined(links)
-    met = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
-    rest = _map_arrays(masked(so_far.join(met, "text_key", "left_semi"), "root"), others, "a bigint, b bigint")
-    long = found.where("long").select("mask", F.col("b").alias("bits"), F.col("a").alias("text_key"))
-    long = long.join(so_far.select("text_key", "root", "fp0", "fp1", distance.cast("int").alias("d")), "text_key")
-    rest = rest.unionByName(_map_arrays(_cells(long), whole, "a bigint, b bigint")).distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    rooted = joined(links.unionByName(_verified(docs, nodes, rest, size, similarity))).select("text_key", "least", "root")
-    for old in (found, pairs, rest):
+    so_far = written(joined(links).select("text_key", "least", "root", "n", "fp0", "fp1", "bands"), "so_far")
+    touched = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
+    more = written(_map_arrays(met(so_far.join(touched, "text_key", "left_semi"), "root"), others, schema), "more")
+    rest = written(more.where("not row").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    rows = found.unionByName(more).where("row").select("mask", F.col("b").alias("bits"), F.col("a").alias("text_key"))
+    cells = written(_cells(rows.join(so_far.select("text_key", "root", "n", "fp0", "fp1", "bands", distance), "text_key")), "cells")
+    sets = written(_sets(docs, nodes, cells.select("text_key").distinct(), size), "sets")
+    full = cells.join(sets, "text_key").repartition("mask", "bits").sortWithinPartitions("mask", "bits", "d")
+    close = links.unionByName(_verified(docs, nodes, rest, size, similarity)).unionByName(_map_arrays(full, within, "a bigint, b bigint"))
+    rooted = joined(close).select("text_key", "least", "root")
+    for old in (found, pairs, links, so_far, more, rest, cells, sets):
         forget(old)
     keepers = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("n"), "least", "text_key")).alias("k"))
     rooted = rooted.join(keepers, "root").select("text_key", F.col("root").alias("group"), F.col("k.least").alias("kl"), F.col("k.text_key").alias("kt"))
     return own.select("doc_id", "text_key").join(rooted, "text_key").select("doc_id", "text_key", "group", (F.col("doc_id").eqNullSafe(F.col("kl")) & (F.col("text_key") == F.col("kt"))).alias("keeper"))
 
 
-def _spanning(part: dict, radius: int, most: int) -> tuple:
-    """(i, j) index arrays of pairs that connect, run by run, what the neighbours within radius bits of 128 connect. Boruvka's rounds: for each part that is
+def _comparison(part: dict, similarity: float):
+    """A function of index arrays (i, j): those pairs that pivot tables, popcount and the sizes of the sets let through, and their bits apart."""
+    import numpy as np
+
+    fp, fp2, n, ref = part["fp0"].astype("i8").view("u8"), part["fp1"].astype("i8").view("u8"), part["n"].astype("i8"), pivots(4)
+    table = np.bitwise_count(fp[:, None] ^ ref[None, :2]).astype("i2") + np.bitwise_count(fp2[:, None] ^ ref[None, 2:])
+
+    def close(i, j):
+        near = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+        i, j = i[near], j[near]
+        near = np.abs(table[i] - table[j]).max(axis=1, initial=0) <= MOST_BITS
+        i, j = i[near], j[near]
+        bits = np.bitwise_count(fp[i] ^ fp[j]).astype("i4") + np.bitwise_count(fp2[i] ^ fp2[j])
+        near = bits <= MOST_BITS
+        return i[near], j[near], bits[near].astype("i4")
+
+    return close
+
+
+def _spanning(part: dict, similarity: float) -> tuple:
+    """(i, j) index arrays of pairs that connect, run by run, what the neighbours that _comparison lets through connect. Boruvka's rounds: for each part that is
     connected so far, its nearest pair with a row outside of it (ties: the least keys). Rows without such a pair and runs that are one part leave."""
     import numpy as np
 
     at, label, out_i, out_j = np.arange(len(part["mask"])), np.arange(len(part["mask"])), [], []
-    ref = pivots(4)
     while len(at):
-        now = {k: part[k][at] for k in ("mask", "bits", "d")}
-        fp, fp2, key, own = part["fp0"][at].astype("i8").view("u8"), part["fp1"][at].astype("i8").view("u8"), part["text_key"][at].astype("i8"), label[at]
-        table = np.bitwise_count(fp[:, None] ^ ref[None, :2]).astype("i2") + np.bitwise_count(fp2[:, None] ^ ref[None, 2:])
-        nearest, partner = np.full(len(at), radius + 1, "i4"), np.zeros(len(at), "i8")
-        for i, j in _neighbours(now, radius, most):
+        now = {k: part[k][at] for k in ("mask", "bits", "d", "n", "fp0", "fp1")}
+        key, own, close = part["text_key"][at].astype("i8"), label[at], _comparison(now, similarity)
+        nearest, partner = np.full(len(at), MOST_BITS + 1, "i4"), np.zeros(len(at), "i8")
+        for i, j in _neighbours(now, MOST_BITS, NEIGHBOURS):
             apart = own[i] != own[j]
-            i, j = i[apart], j[apart]
-            close = np.abs(table[i] - table[j]).max(axis=1) <= radius
-            i, j = i[close], j[close]
-            bits = (np.bitwise_count(fp[i] ^ fp[j]).astype("i4") + np.bitwise_count(fp2[i] ^ fp2[j])).astype("i4")
+            i, j, bits = close(i[apart], j[apart])
             for x, y in ((j, i), (i, j)):
-                better = (bits < nearest[x]) | (bits == nearest[x]) & (bits <= radius) & (key[y] < key[partner[x]])
+                better = (bits < nearest[x]) | (bits == nearest[x]) & (bits <= MOST_BITS) & (key[y] < key[partner[x]])
                 nearest[x[better]], partner[x[better]] = bits[better], y[better]
-        found = np.flatnonzero(nearest <= radius)
+        found = np.flatnonzero(nearest <= MOST_BITS)
         if not len(found):
             break
         other = partner[found]
@@ -418,15 +453,14 @@ def _spanning(part: dict, radius: int, most: int) -> tuple:
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, "i8"), np.zeros(0, "i8"))
 
 
-def _cells(long: DataFrame) -> DataFrame:
-    """The rows of runs with more than one root, each run cut into blocks of about BLOCK rows and every two blocks put together as a run of their own
+def _cells(rows: DataFrame) -> DataFrame:
+    """The rows of runs with more than one root, each run cut into blocks of about BLOCK shingles and every two blocks put together as a run of their own
     (bits: a hash of the old ones and both blocks), so that all pairs of a run of any length meet, and no task has the whole run."""
-    runs = long.groupBy("mask", "bits").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    dealt = long.join(runs.select("mask", "bits", F.ceil(F.col("n") / BLOCK).alias("blocks")), ["mask", "bits"])
+    runs = rows.groupBy("mask", "bits").agg(F.sum("n").alias("all"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    dealt = rows.join(runs.select("mask", "bits", F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("all") / BLOCK)).alias("blocks")), ["mask", "bits"])
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("text_key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     cell = F.xxhash64("bits", F.least("own", "other"), F.greatest("own", "other"))
-    rows = dealt.select("mask", cell.alias("bits"), "d", "text_key", "root", "fp0", "fp1")
-    return rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "d")
+    return dealt.select("mask", cell.alias("bits"), "d", "text_key", "root", "n", "fp0", "fp1", "bands")
 
 
 def _divided(part: dict) -> dict:
@@ -439,19 +473,64 @@ def _divided(part: dict) -> dict:
     return {k: v[several] for k, v in part.items()}
 
 
-def _across(part: dict, radius: int, most: int) -> Iterator[tuple]:
-    """(i, j) index arrays of all pairs of neighbours within radius bits of 128 that have different roots."""
+def _across(part: dict, similarity: float) -> Iterator[tuple]:
+    """(i, j) index arrays of all pairs of a run's rows that _comparison lets through and that have different roots."""
+    root = part["root"]
+    if len(root):
+        close = _comparison(part, similarity)
+        for i, j in _neighbours(part, MOST_BITS, len(root)):
+            apart = root[i] != root[j]
+            i, j, _ = close(i[apart], j[apart])
+            yield i, j
+
+
+def _alike(part: dict, similarity: float, pairs: int = 8_192, columns: int = 16_384) -> list[tuple[int, int]]:
+    """Links (a forest of text keys) between rows of different roots, of the same run, whose shingle sets are similar enough. A pair is compared in the
+    first of the bands that it has in common, and not once it is joined by others. Sets are bit rows over the shingles that several rows have, some columns at a time."""
     import numpy as np
 
-    ref, fp, fp2, root = pivots(4), part["fp0"].astype("i8").view("u8"), part["fp1"].astype("i8").view("u8"), part["root"]
-    table = np.bitwise_count(fp[:, None] ^ ref[None, :2]).astype("i2") + np.bitwise_count(fp2[:, None] ^ ref[None, 2:])
-    for i, j in _neighbours(part, radius, most) if len(fp) else ():
-        apart = root[i] != root[j]
+    key, bands, sets = part["text_key"].astype("i8"), np.array([np.asarray(x, "i8") for x in part["bands"]]), [np.frombuffer(x, "u8") for x in part["set"]]
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    place = np.cumsum(counts > 1) - 1
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    edges = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 + columns, columns)) if len(column) else np.zeros(1, "i8")
+    label, kept = part["root"].astype("i8").copy(), []
+
+    def verify(i, j) -> None:
+        nonlocal label
+        apart = label[i] != label[j]
         i, j = i[apart], j[apart]
-        close = np.abs(table[i] - table[j]).max(axis=1) <= radius
-        i, j = i[close], j[close]
-        near = np.bitwise_count(fp[i] ^ fp[j]).astype("i4") + np.bitwise_count(fp2[i] ^ fp2[j]) <= radius
-        yield i[near], j[near]
+        both = np.zeros(len(i), "i8")
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            bits = np.zeros((len(sets), columns), bool)
+            bits[row[a:b], column[a:b] - k * columns] = True
+            packed = np.packbits(bits, axis=1).view("u8")
+            for at in range(0, len(i), 1_024):
+                own = slice(at, at + 1_024)
+                both[own] += np.bitwise_count(packed[i[own]] & packed[j[own]]).sum(axis=1, dtype="i8")
+        either = sizes[i] + sizes[j] - both
+        for x, y in zip(i[both >= similarity * either].tolist(), j[both >= similarity * either].tolist(), strict=True):
+            if label[x] != label[y]:
+                kept.append((int(key[x]), int(key[y])))
+                label[label == label[y]] = label[x]
+
+    some, n = [], 0
+    for i, j in _across(part, similarity):
+        same = bands[i] == bands[j]
+        first = same.argmax(axis=1) == part["mask"][i]
+        some.append((i[first], j[first]))
+        n += int(first.sum())
+        if n >= pairs:
+            verify(*(np.concatenate(x) for x in zip(*some, strict=True)))
+            some, n = [], 0
+    if n:
+        verify(*(np.concatenate(x) for x in zip(*some, strict=True)))
+    return kept
 
 
 def _ordered(key, found, rows: int = 1 << 18) -> Iterator[dict]:
@@ -507,33 +586,41 @@ def _map_words(docs: DataFrame, size: int, similarity: float) -> DataFrame:
         odd = np.random.default_rng(SEED + 2).integers(0, 2**63, 2 + count * BAND + BAND, "u8") * np.uint64(2) + np.uint64(1)
         mixers, factors, folds = odd[:2], odd[2 : 2 + count * BAND], odd[2 + count * BAND :]
         for b in batches:
-            fps, own = [], []
+            fps, own, sizes = [], [], []
             for t in b["text"]:
                 h = np.unique(hashes(t, size))  # each shingle once, as the similarity counts them
+                sizes.append(len(h))
                 h ^= h >> np.uint64(29)
                 mixed = (h * m for m in mixers)
                 fps.append([simhash(x ^ (x >> np.uint64(32))) for x in mixed])
                 least = _least(h, factors).reshape(count, BAND)
                 least ^= least >> np.uint64(32)
                 own.append((least * folds[None, :]).sum(axis=1, dtype="u8").view("i8"))
-            yield {"doc_id": b["doc_id"], "text_key": b["text_key"], "fp0": [x[0] for x in fps], "fp1": [x[1] for x in fps], "bands": own}
+            yield {"doc_id": b["doc_id"], "text_key": b["text_key"], "n": sizes, "fp0": [x[0] for x in fps], "fp1": [x[1] for x in fps], "bands": own}
 
-    return map_columns(docs, run, "doc_id bigint, text_key bigint, fp0 bigint, fp1 bigint, bands array<bigint>")
+    return map_columns(docs, run, "doc_id bigint, text_key bigint, n bigint, fp0 bigint, fp1 bigint, bands array<bigint>")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text keys whose shingle sets are similar enough. Only texts in some pair are read again."""
+def _sets(docs: DataFrame, nodes: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """text_key, set (the sorted hashes of the distinct shingles) of the texts with these keys; only those are read again."""
     import numpy as np
 
-    wanted = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct().join(nodes.select("text_key", "least"), "text_key")
-    wanted = wanted.select("text_key", "least")
-    texts = docs.join(wanted.withColumnRenamed("text_key", "k"), docs["doc_id"].eqNullSafe(F.col("least")) & (docs["text_key"] == F.col("k")), "left_semi")
+    wanted = keys.join(nodes.select("text_key", "least"), "text_key").select(F.col("text_key").alias("k"), "least")
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("least")) & (docs["text_key"] == F.col("k")), "left_semi")
 
     def sets(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             yield {"text_key": b["text_key"], "set": [np.unique(hashes(t, size)).astype("u8").tobytes() for t in b["text"]]}
 
-    known = written(map_columns(texts.select("text_key", "text"), sets, "text_key bigint, set binary").dropDuplicates(["text_key"]), "sets")
+    return map_columns(texts.select("text_key", "text"), sets, "text_key bigint, set binary").dropDuplicates(["text_key"])
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of text keys whose shingle sets are similar enough."""
+    import numpy as np
+
+    keys = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
+    known = written(_sets(docs, nodes, keys, size), "sets")
 
     def compare(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:

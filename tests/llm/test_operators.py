@@ -419,7 +419,7 @@ def test_near_copies_within_a_template(spark):
 def test_near_copies_in_long_runs(spark, monkeypatch):
     """Runs far longer than the window are compared whole, block by block."""
     monkeypatch.setattr(near_duplicates, "NEIGHBOURS", 2)
-    monkeypatch.setattr(near_duplicates, "BLOCK", 40, raising=False)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 12_000)
     data = template_copies(250, 50)
     sets, pairs = similar_pairs(data)
     group = grouped(spark, data)
