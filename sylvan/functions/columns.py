@@ -20,27 +20,45 @@ def binary_label(label: Column, positive: str) -> Column:
 
 
 def dense(pairs: Column, width: int, missing: float = 0.0) -> Column:
-    """array<double> of `width` from an array of "index:value" tokens: indices count from 0, the last of equal ones holds, nan counts as 0."""
-    parts = F.transform(pairs, lambda p: F.struct(F.substring_index(p, ":", 1).cast("int").alias("i"), F.nanvl(F.substring_index(p, ":", -1).cast("double"), F.lit(0.0)).alias("v")))
+    """array<double> of `width` from an array of "index:value" tokens: indices count from 0, the last of equal ones holds, nan counts as 0.
+
+    The tokens are sorted once and the gaps between them filled, so work grows with width + tokens (times the logarithm of the latter).
+    """
+    parts = F.transform(pairs, lambda p, at: F.struct(F.substring_index(p, ":", 1).cast("int").alias("i"), at.alias("at"), F.nanvl(F.substring_index(p, ":", -1).cast("double"), F.lit(0.0)).alias("v")))
+    blank = lambda n: F.array_repeat(F.lit(float(missing)), n)
+
+    def last_of_each(p: Column) -> Column:
+        return F.filter(p, lambda x, k: F.coalesce(F.get(p, k + 1)["i"] != x["i"], F.lit(True)))
 
     def filled(p: Column) -> Column:
-        def at(i: Column) -> Column:
-            own = F.filter(p, lambda x: x["i"] == i)
-            return F.coalesce(F.element_at(F.concat(F.array(F.lit(None).cast("double")), own["v"]), -1), F.lit(float(missing)))
+        pieces = F.transform(p, lambda x, k: F.concat(blank(x["i"] - F.coalesce(F.get(p, k - 1)["i"], F.lit(-1)) - 1), F.array(x["v"])))
+        return F.concat(F.flatten(pieces), blank(F.lit(width - 1) - F.coalesce(F.get(p, F.size(p) - 1)["i"], F.lit(-1))))
+
+    let = lambda x, body: F.transform(F.array(x), body)[0]
+    return let(let(F.array_sort(F.filter(parts, lambda x: x["i"] >= 0)), last_of_each), filled)
+
+
+#: Edges up to which counting them all is quicker than halving.
+FEW_EDGES = 16
 
-        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at)
 
-    return F.transform(F.array(parts), filled)[0]  # the tokens are read once, not once a position
+def bin_code(value: Column, edges: Column, most: int = FEW_EDGES) -> Column:
+    """How many edges the value reaches, less one, and 0 at least. most: how many edges there are at most; beyond FEW_EDGES the place is found by halving."""
+    if most <= FEW_EDGES:
+        return F.greatest(F.lit(0), F.size(F.filter(edges, lambda e: e <= value)) - 1)
 
+    def half(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        reached = (acc["low"] < acc["high"]) & (F.get(edges, middle) <= value)
+        return F.struct(F.when(reached, middle + 1).otherwise(acc["low"]).alias("low"), F.when(reached, acc["high"]).otherwise(middle).alias("high"))
 
-def bin_code(value: Column, edges: Column) -> Column:
-    """How many edges the value reaches, less one, and 0 at least."""
-    return F.greatest(F.lit(0), F.size(F.filter(edges, lambda e: e <= value)) - 1)
+    start = F.struct(F.lit(0).alias("low"), F.size(edges).alias("high"))
+    return F.greatest(F.lit(0), F.aggregate(F.sequence(F.lit(1), F.lit(most.bit_length())), start, half, lambda acc: acc["low"]) - 1)
 
 
-def bin_codes(values: Column, edges: Column) -> Column:
+def bin_codes(values: Column, edges: Column, most: int = FEW_EDGES) -> Column:
     """bin_code at each position of two arrays."""
-    return F.zip_with(values, edges, bin_code)
+    return F.zip_with(values, edges, lambda v, e: bin_code(v, e, most))
 
 
 def weight(score: Column, label: Column) -> Column:

@@ -62,9 +62,17 @@ def _by_jumps(frequency: DataFrame, feature: int, target: int) -> DataFrame:
     return spark.createDataFrame([(feature, i, float(e)) for i, e in enumerate(edges)], "feature int, bin int, edge double")
 
 
-def build_bins(examples: DataFrame, bins: int, most_rows: int) -> DataFrame:
-    """Edges from the first `most_rows` examples (a parameter of the trainer)."""
-    return equi_depth(value_frequency(examples.limit(most_rows)), bins)
+def build_bins(examples: DataFrame, bins: int, most_rows: int, order: str = "row_id") -> DataFrame:
+    """Edges from about `most_rows` examples (a parameter of the trainer): all if there are no more, else those whose hash of `order` is low enough."""
+    n = examples.count()
+    if n > most_rows:
+        examples = examples.where(F.pmod(F.xxhash64(order), F.lit(1 << 32)) < int(most_rows / n * (1 << 32)))
+    return equi_depth(value_frequency(examples), bins)
+
+
+def total_bins(edges: DataFrame) -> DataFrame:
+    """n: the edges of all features."""
+    return edges.agg(F.count("*").alias("n"))
 
 
 def edge_arrays(edges: DataFrame) -> list[list[float]]:
@@ -80,7 +88,7 @@ def discretize(examples: DataFrame, edges: list[list[float]]) -> DataFrame:
     if not edges:
         return examples.withColumn("codes", F.transform("features", lambda _: F.lit(0))).drop("features")
     literal = F.array(*(F.lit([float(e) for e in own]) if own else F.array().cast("array<double>") for own in edges))
-    return examples.withColumn("codes", C.bin_codes(F.col("features"), literal)).drop("features")
+    return examples.withColumn("codes", C.bin_codes(F.col("features"), literal, max(map(len, edges)))).drop("features")
 
 
 def upper_median(df: DataFrame, column: str) -> DataFrame:

@@ -10,26 +10,27 @@ from pyspark.sql import functions as F
 
 def kd_grids(rows: DataFrame, least: int, seed: int = 1, column: str = "codes") -> list[list[tuple[int, float, bool]]]:
     """Regions as lists of (feature, value, at most?) conditions. A region of over 2 `least` rows is cut at the median of a feature taken at random, as long
-    as that leaves rows on both sides; all regions of a level are counted and cut by one query each."""
+    as that leaves rows on both sides, else at another's; one query a level counts all open regions and finds their medians."""
     rng = random.Random(seed)
     width = (rows.select(F.max(F.size(column))).first() or [0])[0] or 0
-    open_, done = [[]], []
+    open_, done = [([], rng.sample(range(width), width))], []
     while open_:
-        region = open_.pop()
-        own = rows.where(inside(region, column))
-        n = own.count()
-        cut = None
-        if n > 2 * least:
-            for f in rng.sample(range(width), width):
-                value = own.agg(F.percentile(F.get(F.col(column), F.lit(f)), F.lit(0.5))).first()[0]
-                low = own.where(F.get(F.col(column), F.lit(f)) <= value).count()
-                if 0 < low < n:
-                    cut = (f, float(value))
-                    break
-        if cut is None:
-            done.append(region)
-        else:
-            open_ += [[*region, (*cut, True)], [*region, (*cut, False)]]
+        feature = F.lit(None).cast("int")
+        for i, (_, left) in enumerate(open_):
+            feature = F.when(F.col("region") == i, left[0] if left else None).otherwise(feature)
+        value = F.get(F.col(column), feature).cast("double")
+        own = region_of(rows, [region for region, _ in open_], column).where("region is not null").select("region", value.alias("x"))
+        found = {r["region"]: r for r in own.groupBy("region").agg(F.count("*").alias("n"), F.percentile("x", F.lit(0.5)).alias("middle"), F.max("x").alias("high")).collect()}
+        following = []
+        for i, (region, left) in enumerate(open_):
+            r = found.get(i)
+            if r is None or r["n"] <= 2 * least or not left:
+                done.append(region)
+            elif r["middle"] < r["high"]:
+                following += [([*region, (left[0], float(r["middle"]), low)], rng.sample(range(width), width)) for low in (True, False)]
+            else:  # no row lies above this feature's median
+                following.append((region, left[1:]))
+        open_ = following
     return done
 
 

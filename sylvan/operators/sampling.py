@@ -25,10 +25,21 @@ def replicate(rows: DataFrame) -> DataFrame:
 
 
 def draw(rows: DataFrame, capacity: int, seed: int, order: str = "row_id") -> DataFrame:
-    """A sample of `capacity` rows in proportion to weight, dealt in an order fixed by seed."""
+    """A sample of `capacity` rows in proportion to weight, in an order (shuffle_key) fixed by seed. The grid has `capacity` points, so nothing is cut off;
+    of a row's copies each has a key of its own."""
     start = ((seed * 2654435761) % 1000) / 1000
-    picked = replicate(systematic_copies(rows, capacity, order, start)).limit(capacity)
-    return picked.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(order)))
+    copies = systematic_copies(rows, capacity, order, start).where("copies > 0")
+    each = copies.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return each.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(order), F.col("_c"))).drop("_c", "copies")
+
+
+def gather_counters(copies: DataFrame) -> DataFrame:
+    """scanned, taken, taken_positive (distinct rows) and sampled, sampled_positive (with their copies) of rows with copies and label."""
+    some, positive = F.col("copies") > 0, F.col("label") > 0
+    n = lambda x: F.sum(x.cast("bigint"))
+    return copies.agg(
+        F.count("*").alias("scanned"), n(some).alias("taken"), n(some & positive).alias("taken_positive"), F.sum("copies").alias("sampled"), F.sum(F.when(positive, F.col("copies")).otherwise(0)).alias("sampled_positive")
+    )
 
 
 def stratum_allocation(table: DataFrame, points: DataFrame) -> DataFrame:

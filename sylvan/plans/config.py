@@ -1,4 +1,4 @@
-"""Job parameters. Only those that have an effect; unknown names in a file are an error."""
+"""Job parameters. All of them have an effect in train() or test() (jobs.py); unknown names in a file are an error."""
 
 from __future__ import annotations
 
@@ -21,6 +21,7 @@ class Config:
     num_splits: int = 4
     batch_size: int = 1_000
     sample_size: int = 100_000
+    last_outcomes: int = 5
     resume_training: bool = False
     models_list: str = ""
     incremental_testing: bool = True

@@ -12,6 +12,7 @@ from .operators import binning, control, evaluation, grids, rules, sampling, sta
 from .plans.boosting import Trainer
 from .plans.config import Config
 from .plans.tree import Model, Tree
+from .sources.shared import settled
 from .sources.sparse_text import from_columns, parse
 
 CODES = 8
@@ -130,7 +131,10 @@ def incremental_score(spark, sf_dir):
 
 
 def sample_reset(spark, sf_dir):
-    return statistics.versions(statistics.init_sample(scored(spark, sf_dir), 2).unionByName(statistics.reset_scores(scored(spark, sf_dir), 1).withColumn("base_version", F.lit(1))))
+    rows = scored(spark, sf_dir).select("row_id", "score", "version", "weight")
+    fresh = statistics.init_sample(rows, 2).withColumn("how", F.lit("init"))
+    reset = statistics.reset_scores(rows, 1).withColumns({"base_version": F.lit(1), "how": F.lit("reset")})
+    return fresh.unionByName(reset).select("row_id", "how", "score", "weight", "version", "base_version")
 
 
 def root_split(spark, sf_dir):
@@ -152,7 +156,7 @@ def rule_candidates(spark, sf_dir):
 
 
 def first_passing_batch(spark, sf_dir):
-    rows = statistics.batches(frame(spark, sf_dir), BATCH)
+    rows = statistics.batches(settled(frame(spark, sf_dir).select("row_id", "codes", "label", "weight", "leaf"), "frame"), BATCH)
     got = rules.first_passing(rows, CODES, GAMMA)
     return got.select("batch", "leaf", "feature", "code", "rule", _r("sum_c", 4), _r("v", 4), _r("bound", 3))
 
@@ -162,10 +166,18 @@ def best_empirical_rule(spark, sf_dir):
 
 
 def systematic_sample(spark, sf_dir):
-    got = sampling.systematic_copies(frame(spark, sf_dir), 5_000)
+    got = sampling.systematic_copies(settled(frame(spark, sf_dir).select("row_id", "weight"), "frame"), 5_000)
     return sampling.replicate(got).groupBy("row_id").agg(F.count("*").alias("copies"))
 
 
+def gather_counters(spark, sf_dir):
+    return sampling.gather_counters(sampling.systematic_copies(settled(frame(spark, sf_dir).select("row_id", "weight", "label"), "frame"), 5_000))
+
+
+def total_bins(spark, sf_dir):
+    return binning.total_bins(equi_depth_bins(spark, sf_dir))
+
+
 def stratum_allocation(spark, sf_dir):
     table = frame(spark, sf_dir).groupBy(F.col("codes")[0].alias("stratum")).agg(F.sum("weight").alias("sum_w"))
     points = spark.range(1000).select(F.col("id").alias("point"), ((F.col("id") + 0.5) / 1000).alias("u"))
@@ -180,7 +192,8 @@ def strata_update(spark, sf_dir):
 
 
 def eval_metrics(spark, sf_dir):
-    return evaluation.metrics(scored(spark, sf_dir)).select("n", _r("ada_loss"), _r("auprc"), _r("auroc"), _r("error_rate"))
+    rows = settled(scored(spark, sf_dir).select("label", "score"), "scored")
+    return evaluation.metrics(rows).select("n", _r("ada_loss"), _r("auprc"), _r("auroc"), _r("error_rate"))
 
 
 def roc_curve(spark, sf_dir):
@@ -221,14 +234,14 @@ def gamma_path(spark, sf_dir):
 
 
 def kd_grids(spark, sf_dir):
-    rows = frame(spark, sf_dir).select("row_id", "codes").persist()
+    rows = settled(frame(spark, sf_dir).select("row_id", "codes"), "frame")
     regions = grids.kd_grids(rows, max(1, rows.count() // 8))
     return grids.region_of(rows, regions).groupBy("region").agg(F.count("*").alias("n"))
 
 
 def train_boosted_trees(spark, sf_dir):
     """The whole loop on the frame; the metrics of its model on all rows."""
-    rows = frame(spark, sf_dir).select("row_id", "label", "codes").persist()
+    rows = settled(frame(spark, sf_dir).select("row_id", "label", "codes"), "frame")
     trainer = Trainer(rows, Config(max_bin_size=CODES, default_gamma=0.1, num_trees=3, num_splits=3, sample_size=20_000, batch_size=2_000))
     model = trainer.run()
     return evaluation.validate(rows, [("trained", model)])
@@ -236,19 +249,21 @@ def train_boosted_trees(spark, sf_dir):
 
 def best_stump(spark, sf_dir):
     """The flagship: equi-depth bins, codes, one histogram, and the best cut of each feature with its statistics; returns rows at any size."""
-    rows = frame(spark, sf_dir)
-    edges = binning.edge_arrays(binning.build_bins(rows, 16, 1_000_000))
-    coded = binning.discretize(rows.drop("codes"), edges).withColumn("leaf", F.lit(0))
+    rows = settled(frame(spark, sf_dir).drop("codes"), "frame")
+    edges = binning.edge_arrays(binning.equi_depth(binning.value_frequency(rows), 16))
+    coded = binning.discretize(rows, edges).withColumn("leaf", F.lit(0))
     found = rules.whole_scan(coded, max(map(len, edges)), GAMMA)
     w = Window.partitionBy("feature").orderBy(F.desc("s"), F.desc("code"), F.desc("rule"))
-    return found.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("feature", "code", "rule", "s", "sum_c", "v", "bound", (F.col("sum_c") > F.col("bound")).alias("accepted"))
+    best = found.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    bound = F.when(F.col("bound") > 1e300, None).otherwise(F.round("bound", 3)).alias("bound")
+    return best.select("feature", "code", "rule", _r("s", 4), _r("sum_c", 4), _r("v", 4), bound, (F.col("sum_c") > F.col("bound")).alias("accepted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         parse_dense_features, value_frequency, equi_depth_bins, discretize, label_weight_stratum, strata_distribution, ess, batch_totals, tree_route, ensemble_score, incremental_score, sample_reset, root_split,
-        rule_histogram, rule_prefix, rule_candidates, first_passing_batch, best_empirical_rule, systematic_sample, stratum_allocation, strata_update, eval_metrics, roc_curve, validate_models,
+        rule_histogram, rule_prefix, rule_candidates, first_passing_batch, best_empirical_rule, systematic_sample, gather_counters, total_bins, stratum_allocation, strata_update, eval_metrics, roc_curve, validate_models,
         packet_classification, accept_rate, condition_trend, gamma_path, kd_grids, train_boosted_trees, best_stump,
     )
 }
@@ -265,13 +280,23 @@ def _metrics_sql(source: str, extra: str = "") -> str:
 
 FEATURES = "fr AS (SELECT 0 AS feature, l_quantity AS value, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 1, l_discount, count(*) FROM lineitem GROUP BY 2 UNION ALL SELECT 2, l_tax, count(*) FROM lineitem GROUP BY 2)"
 
+WALK = """o AS (SELECT feature, value, n, row_number() OVER (PARTITION BY feature ORDER BY value) AS i, ceil(sum(n) OVER (PARTITION BY feature) / {bins}.0) AS target, count(*) OVER (PARTITION BY feature) AS m FROM fr),
+walk AS (SELECT feature, i, value, m, n > target AS cut, CASE WHEN n > target THEN 0 ELSE n END AS acc FROM o WHERE i = 1
+  UNION ALL SELECT o.feature, o.i, o.value, o.m, walk.acc + o.n > o.target, CASE WHEN walk.acc + o.n > o.target THEN 0 ELSE walk.acc + o.n END FROM walk JOIN o ON o.feature = walk.feature AND o.i = walk.i + 1),
+edges AS (SELECT feature, (row_number() OVER (PARTITION BY feature ORDER BY value) - 1)::INT AS bin, value AS edge FROM walk WHERE cut OR (i = m AND acc > 0))"""
+
+#: best_stump's edges, without recursion (a feature may have very many values): up to every value, the edge after which the count starts again is the first value beyond the target;
+#: the 17 edges that there can be at most are looked up one after another.
+JUMPS = """c AS (SELECT feature, value, sum(n) OVER (PARTITION BY feature ORDER BY value) AS upto, ceil(sum(n) OVER (PARTITION BY feature) / 16.0) AS target, sum(n) OVER (PARTITION BY feature) AS total FROM fr),
+j AS (SELECT DISTINCT feature, -1 AS bin, NULL::DOUBLE AS edge, 0::HUGEINT AS at, target, total FROM c
+  UNION ALL SELECT j.feature, j.bin + 1, coalesce(min(c.value) FILTER (c.upto > j.at + j.target), max(c.value)), coalesce(min(c.upto) FILTER (c.upto > j.at + j.target), j.total), j.target, j.total FROM j JOIN c ON c.feature = j.feature WHERE j.at < j.total GROUP BY j.feature, j.bin, j.at, j.target, j.total),
+edges AS (SELECT feature, bin, edge FROM j WHERE bin >= 0)"""
+
 ORACLE_SQL: dict[str, str] = {
     "parse_dense_features": "SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END AS label, trunc(l_quantity)::DOUBLE AS x0, 0.0::DOUBLE AS x1, l_linenumber::DOUBLE AS x2, l_partkey::DOUBLE AS x3, -1.0::DOUBLE AS x4 FROM lineitem",
     "value_frequency": f"WITH {FEATURES} SELECT * FROM fr",
-    "equi_depth_bins": f"""WITH RECURSIVE {FEATURES}, o AS (SELECT feature, value, n, row_number() OVER (PARTITION BY feature ORDER BY value) AS i, ceil(sum(n) OVER (PARTITION BY feature) / 6.0) AS target, count(*) OVER (PARTITION BY feature) AS m FROM fr),
-walk AS (SELECT feature, i, value, m, n > target AS cut, CASE WHEN n > target THEN 0 ELSE n END AS acc FROM o WHERE i = 1
-  UNION ALL SELECT o.feature, o.i, o.value, o.m, walk.acc + o.n > o.target, CASE WHEN walk.acc + o.n > o.target THEN 0 ELSE walk.acc + o.n END FROM walk JOIN o ON o.feature = walk.feature AND o.i = walk.i + 1)
-SELECT feature, (row_number() OVER (PARTITION BY feature ORDER BY value) - 1)::INT AS bin, value AS edge FROM walk WHERE cut OR (i = m AND acc > 0)""",
+    "equi_depth_bins": f"WITH RECURSIVE {FEATURES}, {WALK.format(bins=6)} SELECT * FROM edges",
+    "total_bins": f"WITH RECURSIVE {FEATURES}, {WALK.format(bins=6)} SELECT count(*) AS n FROM edges",
     "discretize": "SELECT l_orderkey, l_linenumber AS label, greatest(0, (l_quantity >= 5)::INT + (l_quantity >= 10)::INT + (l_quantity >= 20)::INT + (l_quantity >= 40)::INT - 1) AS c0, greatest(0, (l_discount >= 0.02)::INT + (l_discount >= 0.05)::INT - 1) AS c1, 0 AS c2 FROM lineitem",
     "label_weight_stratum": f"WITH {FRAME}, {SCORED}, {WEIGHTED} SELECT row_id, label, round(score, 6) AS score, round(w, 6) AS weight, stratum FROM w",
     "strata_distribution": f"WITH {FRAME}, {SCORED}, {WEIGHTED} SELECT stratum, count(*) AS n, round(sum(w), 4) AS sum_w, round(count(*) / sum(count(*)) OVER (), 6) AS share_n, round(sum(w) / sum(sum(w)) OVER (), 6) AS share_w FROM w GROUP BY 1",
@@ -280,7 +305,7 @@ SELECT feature, (row_number() OVER (PARTITION BY feature ORDER BY value) - 1)::I
     "tree_route": f"WITH {FRAME} SELECT row_id, {TREE_LEAF} AS leaf, {TREE_VALUE} AS value FROM f",
     "ensemble_score": f"WITH {FRAME}, {SCORED} SELECT row_id, score, 2 AS version FROM s",
     "incremental_score": f"WITH {FRAME}, {SCORED} SELECT row_id, score, 2 AS version, round(exp(-score * label), 6) AS weight FROM s",
-    "sample_reset": "SELECT 1 AS least, 2 AS most",
+    "sample_reset": f"WITH {FRAME} SELECT row_id, 'init' AS how, 0.0::DOUBLE AS score, 1.0::DOUBLE AS weight, 2 AS version, 2 AS base_version FROM f UNION ALL SELECT row_id, 'reset', 0.0, 1.0, 1, 1 FROM f",
     "root_split": f"WITH {FRAME} SELECT 3 AS feature, c3 AS threshold FROM (SELECT c3, row_number() OVER (ORDER BY c3) AS i, count(*) OVER () AS n FROM f) WHERE i = n // 2 + 1",
     "rule_histogram": f"WITH {FRAME}, {EACH}, {HIST} SELECT * FROM h",
     "rule_prefix": f"WITH {FRAME}, {EACH}, {HIST}, {PREFIX} SELECT * FROM p",
@@ -301,6 +326,21 @@ SELECT batch, leaf, feature, code, rule, round(sum_c, 4) AS sum_c, round(v, 4) A
 SELECT leaf, feature, code, rule, s, round(gamma, 6) AS gamma, round(0.5 * ln((0.5 + gamma) / (0.5 - gamma)), 6) AS predict FROM c WHERE s > 0 ORDER BY s DESC, leaf DESC, feature DESC, code DESC, rule DESC LIMIT 1""",
     "systematic_sample": f"""WITH {FRAME}, a AS (SELECT sum(weight) / 5000 AS step FROM f), u AS (SELECT row_id, weight, sum(weight) OVER (ORDER BY row_id) AS upto FROM f)
 SELECT row_id, copies FROM (SELECT row_id, (floor(upto / step + 0.5) - floor((upto - weight) / step + 0.5))::BIGINT AS copies FROM u, a) WHERE copies > 0""",
+    "gather_counters": f"""WITH {FRAME}, a AS (SELECT sum(weight) / 5000 AS step FROM f), u AS (SELECT row_id, label, weight, sum(weight) OVER (ORDER BY row_id) AS upto FROM f),
+k AS (SELECT label, (floor(upto / step + 0.5) - floor((upto - weight) / step + 0.5))::BIGINT AS copies FROM u, a)
+SELECT count(*) AS scanned, count(*) FILTER (copies > 0) AS taken, count(*) FILTER (copies > 0 AND label > 0) AS taken_positive, sum(copies)::BIGINT AS sampled, (sum(copies) FILTER (label > 0))::BIGINT AS sampled_positive FROM k""",
+    "best_stump": f"""WITH RECURSIVE {FRAME}, ev AS (SELECT row_id, label, weight, 0 AS feature, x0 AS value FROM f UNION ALL SELECT row_id, label, weight, 1, x1 FROM f UNION ALL SELECT row_id, label, weight, 2, x2 FROM f UNION ALL SELECT row_id, label, weight, 3, x3 FROM f),
+fr AS (SELECT feature, value, count(*) AS n FROM ev GROUP BY 1, 2), {JUMPS},
+bv AS (SELECT feature, list(edge ORDER BY edge) AS own FROM edges GROUP BY 1),
+coded AS (SELECT 0 AS leaf, ev.feature, greatest(0, len(list_filter(own, lambda e: e <= value)) - 1)::INT AS code, label, weight FROM ev JOIN bv USING (feature)),
+h AS (SELECT leaf, feature, code, count(*) AS n, sum(weight) AS sw, sum(weight * weight) AS sw2, sum(label * weight) AS syw, sum(label * weight * weight) AS syw2 FROM coded GROUP BY 1, 2, 3),
+g AS (SELECT 0 AS leaf, feature, code FROM (SELECT DISTINCT feature FROM h), (SELECT unnest(range((SELECT max(len(own)) FROM bv)))::INT AS code)),
+d AS (SELECT leaf, feature, code, coalesce(sw2, 0) AS sw2, coalesce(syw, 0) AS syw, coalesce(syw2, 0) AS syw2 FROM g LEFT JOIN h USING (leaf, feature, code)),
+p AS (SELECT leaf, feature, code, sum(syw) OVER u AS l_syw, sum(syw2) OVER u AS l_syw2, sum(sw2) OVER t AS t_sw2, sum(syw) OVER t AS t_syw, sum(syw2) OVER t AS t_syw2 FROM d WINDOW u AS (PARTITION BY leaf, feature ORDER BY code ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY leaf, feature)),
+a AS (SELECT sum(weight) AS w, sum(weight * weight) AS w2 FROM f),
+c2 AS (SELECT feature, code, rule, sign * (2 * l_syw - t_syw) AS s, sign * (2 * l_syw - t_syw) - 2 * {GAMMA} * a.w AS sum_c, t_sw2 - 4 * {GAMMA} * sign * (2 * l_syw2 - t_syw2) + 4 * {GAMMA} * {GAMMA} * a.w2 AS v FROM p, a, {RULES}),
+b AS (SELECT *, {BOUND} AS bound FROM c2)
+SELECT feature, code, rule, round(s, 4) AS s, round(sum_c, 4) AS sum_c, round(v, 4) AS v, CASE WHEN isinf(bound) THEN NULL ELSE round(bound, 3) END AS bound, sum_c > bound AS accepted FROM b QUALIFY row_number() OVER (PARTITION BY feature ORDER BY s DESC, code DESC, rule DESC) = 1""",
     "stratum_allocation": f"""WITH {FRAME}, t AS (SELECT c0 AS stratum, sum(weight) AS w FROM f GROUP BY 1), z AS (SELECT stratum, (sum(w) OVER (ORDER BY stratum) - w) / sum(w) OVER () AS low, sum(w) OVER (ORDER BY stratum) / sum(w) OVER () AS high FROM t)
 SELECT range AS point, stratum FROM range(1000) JOIN z ON (range + 0.5::DOUBLE) / 1000 >= low AND (range + 0.5::DOUBLE) / 1000 < high""",
     "strata_update": f"WITH {FRAME} SELECT c0 AS stratum, count(*) - sum((row_id % 5 = 0)::INT)::BIGINT AS n, sum(weight) - sum(CASE WHEN row_id % 5 = 0 THEN weight ELSE 0 END) AS sum_w FROM f GROUP BY 1",
@@ -311,7 +351,7 @@ UNION ALL SELECT model, size, ada_loss, auprc, auroc, error_rate FROM {_metrics_
     "packet_classification": f"WITH {PACKETS} SELECT source, packet_type, count(*) AS n FROM k GROUP BY 1, 2",
     "accept_rate": f"WITH {PACKETS}, {RATED} SELECT packet_id, source, round(rate, 6) AS rate, condition FROM rated",
     "condition_trend": f"""WITH {PACKETS}, {RATED}, l AS (SELECT source, condition AS now, lag(condition) OVER (PARTITION BY source ORDER BY packet_id) AS b FROM rated)
-SELECT source, CASE WHEN b IS NULL THEN 'other' WHEN now = b THEN 'same' WHEN (now = 'TooFast' AND b = 'TooSlow') OR (now = 'TooSlow' AND b = 'TooFast') THEN 'opposite' ELSE 'other' END AS trend, count(*) AS n FROM l GROUP BY 1, 2""",
+SELECT source, CASE WHEN b IS NULL THEN 'other' WHEN now = b AND now <> 'Okay' THEN 'same' WHEN (now = 'TooFast' AND b = 'TooSlow') OR (now = 'TooSlow' AND b = 'TooFast') THEN 'opposite' ELSE 'other' END AS trend, count(*) AS n FROM l GROUP BY 1, 2""",
     "gamma_path": f"""WITH {PACKETS}, {RATED}, z AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY packet_id) AS i FROM rated)
 SELECT source, packet_id, condition, round(least(0.499, greatest(0.001, 0.25 * exp(sum(CASE condition WHEN 'TooFast' THEN -ln(0.9) WHEN 'TooSlow' THEN ln(0.5) ELSE 0 END) OVER (PARTITION BY source ORDER BY packet_id)))), 6) AS gamma FROM z WHERE i % 50 = 0""",
 }

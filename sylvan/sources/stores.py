@@ -35,9 +35,12 @@ class Store:
         found = [v for v in self._versions("sample") if v >= least]
         return (found[-1], self.spark.read.parquet(f"{self.folder}/sample/version={found[-1]}")) if found else None
 
+    def read_sample(self, version: int) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.folder}/sample/version={version}") if version in self._versions("sample") else None
+
     def write_model(self, model: Model, seconds: float = 0.0) -> None:
         row = (json.dumps([seconds, model.size, model.to_dict()]),)
-        self.spark.createDataFrame([row], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/model/version={model.size}")
+        self.spark.range(1, numPartitions=1).select(F.lit(row[0]).alias("value")).write.mode("overwrite").text(f"{self.folder}/model/version={model.size}")
 
     def read_model(self, version: int | None = None) -> Model:
         found = self._versions("model")
@@ -45,6 +48,40 @@ class Store:
             raise FileNotFoundError(f"no model under {self.folder}")
         return read_model(self.spark, f"{self.folder}/model/version={found[-1] if version is None else version}")
 
+    def model_versions(self) -> list[int]:
+        return self._versions("model")
+
+    def model_path(self, version: int) -> str:
+        return f"{self.folder}/model/version={version}"
+
+    def write_state(self, state: dict) -> None:
+        """A trainer's state, one version a write; the last complete one counts."""
+        version = (self._versions("state") or [0])[-1] + 1
+        self.spark.range(1, numPartitions=1).select(F.lit(json.dumps(state)).alias("value")).write.text(f"{self.folder}/state/version={version}")
+
+    def read_state(self) -> dict | None:
+        found = self._versions("state")
+        return json.loads(self.spark.read.text(f"{self.folder}/state/version={found[-1]}").first()[0]) if found else None
+
+    def write_examples(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/examples")
+
+    def has_examples(self) -> bool:
+        fs, path = self._fs(f"{self.folder}/examples/_SUCCESS")
+        return fs.exists(path)
+
+    def read_examples(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/examples")
+
+    def write_strata(self, rows: DataFrame, version: int) -> None:
+        """A snapshot of scored rows by stratum."""
+        rows.write.mode("overwrite").partitionBy("stratum").parquet(f"{self.folder}/strata/version={version}")
+
+    def read_strata(self) -> DataFrame | None:
+        """The rows of the newest complete snapshot; a query by stratum reads only that folder."""
+        found = self._versions("strata")
+        return self.spark.read.parquet(f"{self.folder}/strata/version={found[-1]}") if found else None
+
     def write_bins(self, edges: DataFrame) -> None:
         edges.write.mode("overwrite").parquet(f"{self.folder}/bins")
 
