@@ -104,30 +104,38 @@ class Machine:
     def scores(self, rows: list[tuple[list[float], list[int], list[float]]]):
         import numpy as np
 
-        y, _, _ = _forward(self.bias, self.linear, self.factors, *_sparse(rows, self.mean, self.scale))
+        y, _, _ = _forward(self.bias, self.linear, self.factors, *_batch(rows, self.mean, self.scale))
         return 1 / (1 + np.exp(-np.clip(y, -30, 30)))
 
 
-def _sparse(rows, mean, scale):
-    """(row, input, value) arrays of a batch, and its number of rows."""
+def _batch(rows, mean, scale):
+    """(at, x, sizes, stats): the words' buckets and values row after row, how many each row has, and the matrix of scaled statistics."""
     import numpy as np
 
     stats = np.clip((np.array([r[0] for r in rows]) - mean) / scale, -5, 5) / 4
     sizes = np.array([len(r[1]) for r in rows])
-    row = np.concatenate([np.repeat(np.arange(len(rows)), sizes), np.repeat(np.arange(len(rows)), stats.shape[1])])
-    at = np.concatenate([np.concatenate([np.asarray(r[1], "i8") for r in rows]), np.tile(BUCKETS + np.arange(stats.shape[1]), len(rows))])
-    x = np.concatenate([np.concatenate([np.asarray(r[2], "f8") for r in rows]), stats.ravel()])
-    return row, at, x, len(rows)
+    return np.concatenate([np.asarray(r[1], "u2") for r in rows]), np.concatenate([np.asarray(r[2], "f8") for r in rows]), sizes, stats
 
 
-def _forward(bias, linear, factors, row, at, x, n):
+def _row_sums(values, sizes):
+    """Sums of each row's values, which lie row after row; rows may be empty."""
     import numpy as np
 
-    y = bias + np.bincount(row, linear[at] * x, n)
-    v = factors[at] * x[:, None]
-    sums = np.stack([np.bincount(row, v[:, f], n) for f in range(v.shape[1])], axis=1)
-    squares = np.bincount(row, (v**2).sum(axis=1), n)
-    return y + 0.5 * ((sums**2).sum(axis=1) - squares), v, sums
+    out, some = np.zeros((len(sizes), *values.shape[1:])), sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some], axis=0)
+    return out
+
+
+def _forward(bias, linear, factors, at, x, sizes, stats):
+    """(y, v, sums): the machine's output, the words' factors times their values, and the sums of these over all inputs of a row."""
+    import numpy as np
+
+    v = factors.take(at, axis=0)
+    v *= x[:, None]
+    sums = _row_sums(v, sizes) + stats @ factors[BUCKETS:]
+    squares = _row_sums(np.einsum("ij,ij->i", v, v), sizes) + stats**2 @ (factors[BUCKETS:] ** 2).sum(axis=1)
+    return bias + _row_sums(linear[at] * x, sizes) + stats @ linear[BUCKETS:] + 0.5 * ((sums**2).sum(axis=1) - squares), v, sums
 
 
 def fit(rows: list[tuple[list[float], list[int], list[float]]], labels: list[int]) -> Machine:
@@ -148,19 +156,27 @@ def fit(rows: list[tuple[list[float], list[int], list[float]]], labels: list[int
         order = rng.permutation(len(rows))
         for a in range(0, len(rows), BATCH):
             own = order[a : a + BATCH]
-            row, at, x, n = _sparse([rows[i] for i in own], mean, scale)
-            y, v, sums = _forward(bias, linear, factors, row, at, x, n)
-            error = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - target[own]) / n * BATCH / 8
-            e = error[row]
-            used, inverse = np.unique(at, return_inverse=True)
-            d_linear = np.bincount(inverse, e * x, len(used)) + DECAY * linear[used]
-            inner = (e * x)[:, None] * (sums[row] - v)
-            d_factors = np.stack([np.bincount(inverse, inner[:, f], len(used)) for f in range(RANK)], axis=1) + DECAY * factors[used]
-            g_linear[used] += d_linear**2
-            g_factors[used] += d_factors**2
+            at, x, sizes, stats = _batch([rows[i] for i in own], mean, scale)
+            y, v, sums = _forward(bias, linear, factors, at, x, sizes, stats)
+            error = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - target[own]) / len(own) * BATCH / 8
+            by_word = np.argsort(at, kind="stable")
+            used = at[by_word]
+            starts = np.flatnonzero(np.append(True, used[1:] != used[:-1])) if len(used) else np.zeros(0, "i8")
+            ex = np.repeat(error, sizes) * x
+            inner = sums.take(np.repeat(np.arange(len(own)), sizes), axis=0)
+            inner -= v
+            inner *= ex[:, None]
+            # of the words in this batch, then of the statistics
+            places = np.concatenate([used[starts].astype("i8"), np.arange(BUCKETS, size)])
+            words = (np.add.reduceat(ex[by_word], starts), np.add.reduceat(inner.take(by_word, axis=0), starts, axis=0)) if len(used) else (np.zeros(0), np.zeros((0, RANK)))
+            own_factors = stats.T @ (error[:, None] * sums) - (stats**2).T @ error[:, None] * factors[BUCKETS:]
+            d_linear = np.concatenate([words[0], stats.T @ error]) + DECAY * linear[places]
+            d_factors = np.concatenate([words[1], own_factors]) + DECAY * factors[places]
+            g_linear[places] += d_linear**2
+            g_factors[places] += d_factors**2
             g_bias += error.sum() ** 2
-            linear[used] -= 5 * RATE * d_linear / np.sqrt(g_linear[used])
-            factors[used] -= RATE * d_factors / np.sqrt(g_factors[used])
+            linear[places] -= 5 * RATE * d_linear / np.sqrt(g_linear[places])
+            factors[places] -= RATE * d_factors / np.sqrt(g_factors[places])
             bias -= RATE * error.sum() / np.sqrt(g_bias)
     return Machine(bias, linear.astype("f4"), factors.astype("f4"), mean, scale)
 
