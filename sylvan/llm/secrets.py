@@ -190,7 +190,7 @@ def scan(docs: DataFrame, limit: float = LIMIT, labelled: list[tuple[str, int]]
         text.rlike(rf"(?<![{RUN_SIGNS}])(?=[{RUN_SIGNS}]*[A-Za-z])[{RUN_SIGNS}]{{16,}}").alias("able"),
     )
     # runs are looked for between the base spans: those are masked by one sign, and a run that has it is none
-    clean, some = F.translate(text, MARK, " "), lambda name: F.size(name) > 0
+    clean, some = F.replace(text, F.lit(MARK), F.lit(" ")), lambda name: F.size(name) > 0
     rows = rows.withColumn("text", F.when(some("assign"), _masked(clean, ASSIGN, long_enough)).otherwise(clean))
     rows = rows.withColumn("text", F.when(some("access"), _masked(text, ACCESS)).otherwise(text))
     rows = rows.withColumn("text", F.when(some("hex"), _masked(text, HEX)).otherwise(text))
