@@ -8,12 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def path_of(region: list[tuple[int, float, bool]]) -> str:
+    """A region's name: l or r for each cut on the way to it."""
+    return "".join("l" if at_most else "r" for _, _, at_most in region)
+
+
+def features_of(path: str, width: int, seed: int = 1) -> list[int]:
+    """The features in the order in which a region tries them; it depends on its path and the seed alone."""
+    return random.Random(f"{seed}:{path}").sample(range(width), width)
+
+
 def kd_grids(rows: DataFrame, least: int, seed: int = 1, column: str = "codes") -> list[list[tuple[int, float, bool]]]:
     """Regions as lists of (feature, value, at most?) conditions. A region of over 2 `least` rows is cut at the median of a feature taken at random, as long
     as that leaves rows on both sides, else at another's; one query a level counts all open regions and finds their medians."""
-    rng = random.Random(seed)
     width = (rows.select(F.max(F.size(column))).first() or [0])[0] or 0
-    open_, done = [([], rng.sample(range(width), width))], []
+    open_, done = [([], features_of("", width, seed))], []
     while open_:
         feature = F.lit(None).cast("int")
         for i, (_, left) in enumerate(open_):
@@ -27,7 +36,8 @@ def kd_grids(rows: DataFrame, least: int, seed: int = 1, column: str = "codes")
             if r is None or r["n"] <= 2 * least or not left:
                 done.append(region)
             elif r["middle"] < r["high"]:
-                following += [([*region, (left[0], float(r["middle"]), low)], rng.sample(range(width), width)) for low in (True, False)]
+                parts = [[*region, (left[0], float(r["middle"]), low)] for low in (True, False)]
+                following += [(part, features_of(path_of(part), width, seed)) for part in parts]
             else:  # no row lies above this feature's median
                 following.append((region, left[1:]))
         open_ = following

@@ -236,7 +236,8 @@ def gamma_path(spark, sf_dir):
 def kd_grids(spark, sf_dir):
     rows = settled(frame(spark, sf_dir).select("row_id", "codes"), "frame")
     regions = grids.kd_grids(rows, max(1, rows.count() // 8))
-    return grids.region_of(rows, regions).groupBy("region").agg(F.count("*").alias("n"))
+    path = F.get(F.array(*(F.lit(grids.path_of(region)) for region in regions)), F.col("region"))
+    return grids.region_of(rows, regions).groupBy(path.alias("path")).agg(F.count("*").alias("n"))
 
 
 def train_boosted_trees(spark, sf_dir):
@@ -292,6 +293,10 @@ j AS (SELECT DISTINCT feature, -1 AS bin, NULL::DOUBLE AS edge, 0::HUGEINT AS at
   UNION ALL SELECT j.feature, j.bin + 1, coalesce(min(c.value) FILTER (c.upto > j.at + j.target), max(c.value)), coalesce(min(c.upto) FILTER (c.upto > j.at + j.target), j.total), j.target, j.total FROM j JOIN c ON c.feature = j.feature WHERE j.at < j.total GROUP BY j.feature, j.bin, j.at, j.target, j.total),
 edges AS (SELECT feature, bin, edge FROM j WHERE bin >= 0)"""
 
+#: The features that a region of kd_grids tries, for all paths of up to eight cuts.
+PATHS = ["".join("r" if k >> i & 1 else "l" for i in range(depth)) for depth in range(9) for k in range(1 << depth)]
+TRIES = ", ".join(f"('{path}', {i}, {feature})" for path in PATHS for i, feature in enumerate(grids.features_of(path, 4)))
+
 ORACLE_SQL: dict[str, str] = {
     "parse_dense_features": "SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END AS label, trunc(l_quantity)::DOUBLE AS x0, 0.0::DOUBLE AS x1, l_linenumber::DOUBLE AS x2, l_partkey::DOUBLE AS x3, -1.0::DOUBLE AS x4 FROM lineitem",
     "value_frequency": f"WITH {FEATURES} SELECT * FROM fr",
@@ -348,6 +353,13 @@ SELECT range AS point, stratum FROM range(1000) JOIN z ON (range + 0.5::DOUBLE)
     "roc_curve": f"WITH {FRAME}, {SCORED}, b AS (SELECT score, sum((label > 0)::INT)::BIGINT AS pos, sum((label <= 0)::INT)::BIGINT AS neg FROM s GROUP BY 1) SELECT score, pos, neg, sum(pos) OVER (ORDER BY score DESC)::BIGINT AS tp, sum(neg) OVER (ORDER BY score DESC)::BIGINT AS fp FROM b",
     "validate_models": f"""WITH {FRAME}, {SCORED}, one AS (SELECT label, {TREE_VALUE} AS score FROM f) SELECT model, size, ada_loss, auprc, auroc, error_rate FROM {_metrics_sql("one", "'one' AS model, 1 AS size,")}
 UNION ALL SELECT model, size, ada_loss, auprc, auroc, error_rate FROM {_metrics_sql("s", "'two' AS model, 2 AS size,")}""",
+    "kd_grids": f"""WITH RECURSIVE {FRAME}, tries(path, attempt, feature) AS (VALUES {TRIES}), least AS (SELECT greatest(1, count(*) // 8) AS least FROM f),
+r AS (SELECT row_id, c0, c1, c2, c3, '' AS path, 0 AS attempt FROM f
+  UNION ALL SELECT row_id, c0, c1, c2, c3, CASE WHEN middle < high THEN path || CASE WHEN x <= middle THEN 'l' ELSE 'r' END ELSE path END, CASE WHEN middle < high THEN 0 ELSE attempt + 1 END
+  FROM (SELECT *, median(x) OVER w AS middle, max(x) OVER w AS high, count(*) OVER w AS n
+    FROM (SELECT r.*, (CASE feature WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END)::DOUBLE AS x FROM r JOIN tries USING (path, attempt)) WINDOW w AS (PARTITION BY path)), least
+  WHERE n > 2 * least)
+SELECT path, count(*) AS n FROM (SELECT row_id, arg_max(path, length(path)) AS path FROM r GROUP BY 1) GROUP BY 1""",
     "packet_classification": f"WITH {PACKETS} SELECT source, packet_type, count(*) AS n FROM k GROUP BY 1, 2",
     "accept_rate": f"WITH {PACKETS}, {RATED} SELECT packet_id, source, round(rate, 6) AS rate, condition FROM rated",
     "condition_trend": f"""WITH {PACKETS}, {RATED}, l AS (SELECT source, condition AS now, lag(condition) OVER (PARTITION BY source ORDER BY packet_id) AS b FROM rated)

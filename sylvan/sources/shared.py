@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession) -> str:
     """What spark.checkpoint.dir names; where it is unset, a temporary folder if the session has no machine but this one, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
