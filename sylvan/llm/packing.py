@@ -23,7 +23,7 @@ from .common import map_columns, small_batches, written
 from .tokens import encoder
 
 SEQUENCE = 2_048
-OPEN_BINS = 256
+OPEN_BINS = 64
 GROUP_PIECES = 65_536
 
 
