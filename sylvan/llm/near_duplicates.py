@@ -44,10 +44,11 @@ MEETS = 0.99999
 #: shingles), with standard deviations of 4.0 and 4.4: one such pair in 10^6 is beyond this.
 MOST_BITS = 44
 #: Earlier neighbours in a run of equal bands to which near_duplicate_groups compares a fingerprint at first. Runs up to SMALL rows hand on pairs to be verified; in
-#: larger ones they are verified where they meet, two blocks of about BLOCK shingles at a time.
+#: larger ones they are verified where they meet, two blocks of about BLOCK shingles and BLOCK_ROWS texts at most at a time.
 NEIGHBOURS = 512
 SMALL = 8
 BLOCK = 1 << 20
+BLOCK_ROWS = 2_048
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -454,10 +455,10 @@ def _spanning(part: dict, similarity: float) -> tuple:
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """The rows of runs with more than one root, each run cut into blocks of about BLOCK shingles and every two blocks put together as a run of their own
+    """The rows of runs with more than one root, each run cut into blocks of about BLOCK shingles or BLOCK_ROWS texts and every two blocks put together as a run of their own
     (bits: a hash of the old ones and both blocks), so that all pairs of a run of any length meet, and no task has the whole run."""
-    runs = rows.groupBy("mask", "bits").agg(F.sum("n").alias("all"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    dealt = rows.join(runs.select("mask", "bits", F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("all") / BLOCK)).alias("blocks")), ["mask", "bits"])
+    runs = rows.groupBy("mask", "bits").agg(F.sum("n").alias("all"), F.count("*").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    dealt = rows.join(runs.select("mask", "bits", F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("all") / BLOCK), F.ceil(F.col("texts") / BLOCK_ROWS)).alias("blocks")), ["mask", "bits"])
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("text_key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     cell = F.xxhash64("bits", F.least("own", "other"), F.greatest("own", "other"))
     return dealt.select("mask", cell.alias("bits"), "d", "text_key", "root", "n", "fp0", "fp1", "bands")

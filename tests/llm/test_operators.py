@@ -416,10 +416,11 @@ def test_near_copies_within_a_template(spark):
     assert len({linked[a] for a in sets}) == len(set(group.values())) > 100
 
 
-def test_near_copies_in_long_runs(spark, monkeypatch):
+@pytest.mark.parametrize("name,size", [("BLOCK", 12_000), ("BLOCK_ROWS", 30)])
+def test_near_copies_in_long_runs(spark, monkeypatch, name, size):
     """Runs far longer than the window are compared whole, block by block."""
     monkeypatch.setattr(near_duplicates, "NEIGHBOURS", 2)
-    monkeypatch.setattr(near_duplicates, "BLOCK", 12_000)
+    monkeypatch.setattr(near_duplicates, name, size)
     data = template_copies(250, 50)
     sets, pairs = similar_pairs(data)
     group = grouped(spark, data)
